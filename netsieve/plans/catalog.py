@@ -1,6 +1,6 @@
 """All registered queries (importing the modules fills the registry)."""
 
-from netsieve.plans import profile_queries  # noqa: F401
+from netsieve.plans import prep_queries, profile_queries  # noqa: F401
 from netsieve.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "label_distribution"

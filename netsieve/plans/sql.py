@@ -59,3 +59,38 @@ def with_ctes(*ctes: str) -> str:
 
 def hash_key(id_expr: str, seed: int = 42) -> str:
     return f"md5(CAST({id_expr} AS VARCHAR) || ':{seed}')"
+
+
+def class_rank(id_col: str = "row_id", part: str | None = "label", seed: int = 42) -> str:
+    """0-based rank in md5 order inside ``part`` (the oracle twin of ``hash_rank``)."""
+    over = f"PARTITION BY {part} " if part else ""
+    return f"row_number() OVER ({over}ORDER BY {hash_key(id_col, seed)}, {id_col}) - 1"
+
+
+def class_size(part: str | None = "label") -> str:
+    return f"count(*) OVER (PARTITION BY {part})" if part else "count(*) OVER ()"
+
+
+def strat_split_cte(name: str = "s", src: str = "flows") -> str:
+    """row_id, label, split with ceil(20 %) of every class in test."""
+    return f"""{name} AS (SELECT row_id, label,
+  CASE WHEN rk < ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT row_id, label, {class_rank()} AS rk, {class_size()} AS n FROM {src}) r)"""
+
+
+def group_split_cte(name: str = "g", src: str = "flows") -> str:
+    """row_id, sequence_id, split with ceil(20 %) of the sequence ids in test."""
+    return f"""{name} AS (SELECT f.row_id, f.row_id // 10 AS sequence_id, gs.split FROM {src} f JOIN (
+  SELECT sequence_id, CASE WHEN rk < ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM (
+    SELECT sequence_id, {class_rank('sequence_id', None)} AS rk, {class_size(None)} AS n
+    FROM (SELECT DISTINCT row_id // 10 AS sequence_id FROM {src}) d) r) gs
+  ON f.row_id // 10 = gs.sequence_id)"""
+
+
+def median_fill_cte(name: str, src: str, split_src: str, cols) -> str:
+    """Columns of ``src`` as double with NULLs filled by the train-split median."""
+    meds = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m_{c}" for c in cols)
+    fills = ", ".join(f"coalesce(CAST(x.{c} AS DOUBLE), m.m_{c}) AS {c}" for c in cols)
+    return f"""{name}_m AS (SELECT {meds} FROM {src} JOIN {split_src} USING (row_id) WHERE split = 'train'),
+{name} AS (SELECT x.row_id, sp.split, {fills} FROM {src} x JOIN {split_src} sp USING (row_id)
+  CROSS JOIN {name}_m m)"""
