@@ -299,3 +299,37 @@ def fold_label_names(spark, sf_dir):
     counts = enc.groupBy("fold", "label_idx").agg(F.count(F.lit(1)).alias("n"))
     named = X.index_to_label(counts, model.labels, "label_idx", "label")
     return named.select("fold", F.col("label_idx").cast("int").alias("label_idx"), "label", "n")
+
+
+# ---- CSV round trip ---------------------------------------------------------------------
+
+# Dirty header names as written to the CSV files (leading/trailing spaces on purpose).
+DIRTY = {"row_id": " Flow ID", "src_ip": " Source IP", "label": " Label ",
+         "flow_duration": " Flow Duration", "total_fwd_packets": " Total Fwd Packets",
+         "total_bwd_packets": " Total Backward Packets", "destination_port": " Destination Port",
+         "flow_bytes_s": "Flow Bytes/s ", "bwd_psh_flags": " Bwd PSH Flags",
+         "fwd_header_length": " Fwd Header Length", "fwd_iat_mean": " Fwd IAT Mean",
+         "fwd_iat_max": " Fwd IAT Max"}
+
+
+@register("csv_ingest", with_ctes(FLOWS_CTE) + """
+SELECT row_number() OVER (ORDER BY source_file, row_id) - 1 AS row_id, label, source_file, day, """
+          + ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" if c == "flow_bytes_s"
+                      else c for c in FEATURES) + " FROM flows")
+def csv_ingest(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    from netsieve.session import scratch_path
+    from netsieve.sources.csv_files import read_flow_csvs, write_flow_csvs
+    path = scratch_path(spark, "flow-csv")
+    src = flows(spark, sf_dir).select("source_file", *DIRTY.keys())
+    write_flow_csvs(src.select("source_file", *[F.col(c).alias(d) for c, d in DIRTY.items()]),
+                    path, "source_file", DIRTY["row_id"])
+    types = dict(src.dtypes)
+    spark_type = {"bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
+    schema = T.StructType([T.StructField(DIRTY[c], spark_type[types[c]]) for c in DIRTY])
+    df = read_flow_csvs(spark, path, schema)
+    back = {d.strip(): c for c, d in DIRTY.items()}
+    df = df.select(*[F.col(n).alias(back.get(n, n)) for n in df.columns])
+    df = C.normalize_missing(df, ["flow_bytes_s"])
+    return df.select("row_id", "label", "source_file", "day", *FEATURES)

@@ -229,3 +229,55 @@ SELECT row_id, CASE WHEN total_fwd_packets = 4 THEN 'json' ELSE 'length' END AS
 FROM flows WHERE total_fwd_packets IN (4, 5)""")
 def stream_rejects(spark, sf_dir):
     return SC.all_batches(spark, stream_run(spark, sf_dir), "rejects").select("row_id", "reason")
+
+
+# ---- training history ---------------------------------------------------------------------
+
+HIST_CTE = """h AS (SELECT CAST(epoch AS BIGINT) AS epoch, avg(recall) AS metric FROM (
+  SELECT epoch, class, CASE WHEN support = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / support END AS recall
+  FROM (SELECT epoch, class, sum(t) AS support, sum(tp) AS tp FROM (
+    SELECT dayofmonth(ts) - 1 AS epoch, label AS class, 1 AS t,
+           CASE WHEN label = prediction THEN 1 ELSE 0 END AS tp FROM p
+    UNION ALL SELECT dayofmonth(ts) - 1, prediction, 0, 0 FROM p) x GROUP BY epoch, class) y) z
+  GROUP BY epoch)"""
+
+
+@register("early_stop_history", with_ctes(
+    FLOWS_CTE,
+    PRED_CTE.replace("SELECT row_id, label,", "SELECT row_id, ts, label,"),
+    HIST_CTE).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+s AS (
+  SELECT epoch, metric, CASE WHEN metric > 0.0 + 1e-6 THEN metric ELSE 0.0 END AS best,
+    CASE WHEN metric > 0.0 + 1e-6 THEN 1 ELSE 0 END AS improved,
+    CASE WHEN metric > 0.0 + 1e-6 THEN 0 ELSE 1 END AS bad
+  FROM h WHERE epoch = (SELECT min(epoch) FROM h)
+  UNION ALL
+  SELECT h.epoch, h.metric, CASE WHEN h.metric > s.best + 1e-6 THEN h.metric ELSE s.best END,
+    CASE WHEN h.metric > s.best + 1e-6 THEN 1 ELSE 0 END,
+    CASE WHEN h.metric > s.best + 1e-6 THEN 0 ELSE s.bad + 1 END
+  FROM s JOIN h ON h.epoch = (SELECT min(epoch) FROM h h2 WHERE h2.epoch > s.epoch)
+  WHERE s.bad < 5),
+fin AS (SELECT max(epoch) FILTER (WHERE improved = 1) AS best_e,
+  min(epoch) FILTER (WHERE bad >= 5) AS stop_e FROM s)
+SELECT 'synthetic' AS run, epoch, round(metric, 6) + 0.0 AS metric, round(best, 6) + 0.0 AS best,
+  improved, bad AS epochs_no_improve,
+  CASE WHEN epoch = best_e THEN 1 ELSE 0 END AS is_best,
+  CASE WHEN epoch = stop_e THEN 1 ELSE 0 END AS stopped
+FROM s CROSS JOIN fin""")
+def early_stop_history(spark, sf_dir):
+    from netsieve.operators.history import early_stopping
+    p = with_synthetic_prediction(flows(spark, sf_dir).select("row_id", "ts", "label"))
+    p = p.withColumn("epoch", (F.dayofmonth("ts") - 1).cast("bigint"))
+    rec = F.explode(F.array(
+        F.struct(F.col("label").alias("class"), F.lit(1).alias("t"),
+                 F.when(F.col("label") == F.col("prediction"), 1).otherwise(0).alias("tp")),
+        F.struct(F.col("prediction").alias("class"), F.lit(0).alias("t"), F.lit(0).alias("tp"))))
+    per = (p.select("epoch", rec.alias("r")).select("epoch", "r.*")
+           .groupBy("epoch", "class").agg(F.sum("t").alias("support"), F.sum("tp").alias("tp")))
+    recall = F.when(F.col("support") == 0, 0.0).otherwise(F.col("tp") / F.col("support"))
+    hist = per.groupBy("epoch").agg(F.avg(recall).alias("metric")) \
+              .withColumn("run", F.lit("synthetic"))
+    out = early_stopping(hist, "run", "epoch", "metric", patience=5, min_delta=1e-6)
+    return out.select("run", "epoch", F.round("metric", 6).alias("metric"),
+                      F.round("best", 6).alias("best"), "improved", "epochs_no_improve",
+                      "is_best", "stopped")
