@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,45 +38,47 @@ def long_values(df: DataFrame, cols) -> DataFrame:
 
 
 def order_statistics(long: DataFrame, targets, counts: dict[str, int],
-                     accuracy: int = ACCURACY,
-                     max_band_rows: int = MAX_BAND_ROWS) -> dict[tuple[str, int], float]:
+                     accuracy: int = ACCURACY, max_band_rows: int = MAX_BAND_ROWS,
+                     first_bands: dict | None = None) -> dict[tuple[str, int], float]:
     """Exact k-th smallest value (0-based) of each (feature, k) in ``targets``.
 
-    ``counts`` holds the number of non-missing values per feature.
+    ``counts`` holds the number of non-missing values per feature;
+    ``first_bands`` optionally gives an initial (lo, hi) bracket per target
+    (from a sketch computed together with the counts), saving one pass.
     """
     spark = long.sparkSession
     v, feat = F.col("v"), F.col("feature")
     # target -> [window lo, window hi, rank within window, rows in window]
     state = {t: [-math.inf, math.inf, t[1], counts[t[0]]] for t in set(targets)}
+    given = dict(first_bands or {})
     result: dict[tuple[str, int], float] = {}
     while state:
         keys = sorted(state)
-        probs = {}
-        for t in keys:
-            wlo, whi, r, n = state[t]
-            p = r / max(n - 1, 1)
-            d = 4.0 / accuracy
-            probs[t] = (max(0.0, p - d), min(1.0, p + d))
-        # Pass 1: one sketch per target over its window.
-        sk = []
-        for i, t in enumerate(keys):
-            wlo, whi, _, _ = state[t]
-            in_win = (feat == t[0]) & (v >= wlo) & (v <= whi)
-            sk.append(F.percentile_approx(F.when(in_win, v),
-                                          F.array(F.lit(probs[t][0]), F.lit(probs[t][1])),
-                                          accuracy).alias(f"s{i}"))
-        srow = long.agg(*sk).collect()[0]
-        bands = {}
-        for i, t in enumerate(keys):
-            wlo, whi, _, _ = state[t]
-            lo, hi = srow[f"s{i}"]
-            lo = wlo if probs[t][0] <= 0.0 else max(lo, wlo)
-            hi = whi if probs[t][1] >= 1.0 else min(hi, whi)
-            bands[t] = (lo, hi)
-        # Pass 2: rows below and inside each band, within the window.
+        bands = {t: given.pop(t) for t in keys if t in given}
+        todo = [t for t in keys if t not in bands]
+        if todo:
+            # One sketch per target over its current window.
+            probs, sk = {}, []
+            for i, t in enumerate(todo):
+                wlo, whi, r, n = state[t]
+                p = r / max(n - 1, 1)
+                d = 4.0 / accuracy
+                probs[t] = (max(0.0, p - d), min(1.0, p + d))
+                in_win = (feat == t[0]) & (v >= wlo) & (v <= whi)
+                sk.append(F.percentile_approx(F.when(in_win, v),
+                                              F.array(F.lit(probs[t][0]), F.lit(probs[t][1])),
+                                              accuracy).alias(f"s{i}"))
+            srow = long.agg(*sk).collect()[0]
+            for i, t in enumerate(todo):
+                wlo, whi, _, _ = state[t]
+                lo, hi = srow[f"s{i}"]
+                lo = wlo if probs[t][0] <= 0.0 else max(lo, wlo)
+                hi = whi if probs[t][1] >= 1.0 else min(hi, whi)
+                bands[t] = (lo, hi)
+        # Rows below and inside each band, within the window (one conditional aggregation).
         cnt = []
         for i, t in enumerate(keys):
-            wlo, _, _, _ = state[t]
+            wlo = state[t][0]
             lo, hi = bands[t]
             cnt.append(F.count_if((feat == t[0]) & (v >= wlo) & (v < lo)).alias(f"b{i}"))
             cnt.append(F.count_if((feat == t[0]) & (v >= lo) & (v <= hi)).alias(f"i{i}"))
@@ -91,7 +94,7 @@ def order_statistics(long: DataFrame, targets, counts: dict[str, int],
                     finish.append((t[0], t[1], float(lo), float(hi), r - below))
                 else:
                     nxt[t] = [lo, hi, r - below, inside]
-            elif r < below:
+            elif r < below:  # bracket missed low: keep the part of the window under it
                 nxt[t] = [wlo, math.nextafter(lo, -math.inf), r, below]
             else:
                 nxt[t] = [math.nextafter(hi, math.inf), whi, r - below - inside,
@@ -116,32 +119,51 @@ def quantiles(df: DataFrame, cols, probs, accuracy: int = ACCURACY,
               max_band_rows: int = MAX_BAND_ROWS):
     """Exact linear-interpolation quantiles: ({col: {p: value}}, {col: count})."""
     cols = list(cols)
-    long = long_values(df, cols)
-    crow = df.agg(*[F.count_if(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
-                    .alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
-    counts = {c: crow[f"n{i}"] for i, c in enumerate(cols)}
-    targets = set()
-    plan = {}
+    # The long table feeds several passes: keep it (spillable) instead of recomputing.
+    long = long_values(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _quantiles(long, cols, probs, accuracy, max_band_rows)
+    finally:
+        long.unpersist()
+
+
+def _quantiles(long, cols, probs, accuracy, max_band_rows):
+    d = 4.0 / accuracy
+    ps = sorted({x for q in probs for x in (max(0.0, q - d), min(1.0, q + d))})
+    # Pass 1: count and sketch per column together (a grouped, partial aggregation).
+    first = {r["feature"]: r for r in long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("v", F.array(*[F.lit(p) for p in ps]), accuracy).alias("q")).collect()}
+    counts = {c: (first[c]["n"] if c in first else 0) for c in cols}
+    targets, plan, bands = set(), {}, {}
     for c in cols:
         n = counts[c]
         if n == 0:
             continue
-        for p in probs:
-            pos = p * (n - 1)
+        sketch = dict(zip(ps, first[c]["q"]))
+        for q in probs:
+            pos = q * (n - 1)
             k0 = math.floor(pos)
             k1 = min(k0 + 1, n - 1)
-            plan[(c, p)] = (k0, k1, pos - k0)
-            targets.update({(c, k0), (c, k1)})
-    stats = order_statistics(long, targets, counts, accuracy, max_band_rows) if targets else {}
+            plan[(c, q)] = (k0, k1, pos - k0)
+            lo_p, hi_p = max(0.0, q - d), min(1.0, q + d)
+            lo = -math.inf if lo_p <= 0.0 else sketch[lo_p]
+            hi = math.inf if hi_p >= 1.0 else sketch[hi_p]
+            for k in (k0, k1):
+                targets.add((c, k))
+                old = bands.get((c, k))
+                bands[(c, k)] = (lo, hi) if old is None else (min(old[0], lo), max(old[1], hi))
+    stats = order_statistics(long, targets, counts, accuracy, max_band_rows,
+                             bands) if targets else {}
     out = {c: {} for c in cols}
     for c in cols:
-        for p in probs:
-            if (c, p) not in plan:
-                out[c][p] = None
+        for q in probs:
+            if (c, q) not in plan:
+                out[c][q] = None
                 continue
-            k0, k1, frac = plan[(c, p)]
+            k0, k1, frac = plan[(c, q)]
             a, b = stats[(c, k0)], stats[(c, k1)]
-            out[c][p] = a + (b - a) * frac
+            out[c][q] = a + (b - a) * frac
     return out, counts
 
 
