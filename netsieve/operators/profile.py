@@ -183,11 +183,14 @@ def describe(df: DataFrame, cols, digits: int = 6, **qkw) -> DataFrame:
 
 
 def _pair_corr(x: str, y: str):
-    """Pearson r over pairwise-complete rows; NULL (not an error) for zero variance."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    xs = F.when(both, F.col(x).cast("double"))
-    ys = F.when(both, F.col(y).cast("double"))
-    return F.try_divide(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys))
+    """Pearson r over pairwise-complete rows; NULL (not an error) for zero variance.
+
+    Built as one SQL expression (a single JVM call per pair).
+    """
+    both = f"`{x}` IS NOT NULL AND `{y}` IS NOT NULL"
+    xs = f"CASE WHEN {both} THEN CAST(`{x}` AS DOUBLE) END"
+    ys = f"CASE WHEN {both} THEN CAST(`{y}` AS DOUBLE) END"
+    return F.expr(f"try_divide(covar_samp({xs}, {ys}), stddev_samp({xs}) * stddev_samp({ys}))")
 
 
 def correlation_pairs(df: DataFrame, cols) -> DataFrame:
@@ -207,10 +210,13 @@ def high_corr_pairs(df: DataFrame, cols, lo: float = 0.95, hi: float = 1.0 - 1e-
     """Pairs with lo < |r| < hi, listed in both orders (as a symmetric matrix)."""
     pc = correlation_pairs(df, cols).withColumn("abs_corr", F.abs("corr"))
     hit = pc.where((F.col("abs_corr") > lo) & (F.col("abs_corr") < hi))
-    fwd = hit.select("feature_a", "feature_b", rounded("abs_corr", digits).alias("abs_corr"))
-    rev = hit.select(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"),
-                     rounded("abs_corr", digits).alias("abs_corr"))
-    return fwd.unionByName(rev)
+    r = rounded("abs_corr", digits)
+    both = F.explode(F.array(
+        F.struct(F.col("feature_a").alias("feature_a"), F.col("feature_b").alias("feature_b"),
+                 r.alias("abs_corr")),
+        F.struct(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"),
+                 r.alias("abs_corr"))))
+    return hit.select(both.alias("s")).select("s.*")
 
 
 def target_correlation(df: DataFrame, cols, target: str, top: int = 20,

@@ -76,7 +76,13 @@ def split_by_values(df: DataFrame, col: str, train_values, train: str = "train",
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
-    """M8: min(n, rows) rows without replacement (the first n in hash order)."""
+    """M8: min(n, rows) rows without replacement (the first n in hash order).
+
+    A count first: when the table already fits, it is returned as is (the
+    same rows the ranking would keep) without the ranking shuffle.
+    """
+    if df.count() <= n:
+        return df
     ranked = hash_rank(df, id_col, [], seed)
     return ranked.where(F.col(RANK) < F.lit(n)).drop(RANK, SIZE)
 

@@ -14,6 +14,7 @@ from netsieve.plans.registry import register
 from netsieve.plans.sql import (FLOWS_CTE, class_rank, class_size, clean_cte, group_split_cte,
                                 median_fill_cte, r6, strat_split_cte, with_ctes)
 from netsieve.sources.flows import FEATURES, flows
+from netsieve.sources.sinks import materialize
 
 TRAIN_DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday"]
 WEEKDAYS = ["Friday", "Monday", "Saturday", "Sunday", "Thursday", "Tuesday", "Wednesday"]
@@ -34,6 +35,7 @@ def stratified(spark, sf_dir):
 def prepared(spark, sf_dir):
     """Cleaned flows with the stratified split and train-fitted median fill."""
     df = _clean_abs(spark, sf_dir).join(stratified(spark, sf_dir).drop("label"), "row_id")
+    df = materialize(df, "prepared-split", partition_by=("split",))
     out, _ = C.fill_median(df, FEATURES, fit_on=df.where(F.col("split") == "train"))
     return out
 
@@ -232,6 +234,7 @@ def minmax_scale(spark, sf_dir):
     base = _clean_abs(spark, sf_dir)
     g = S.group_split(base.withColumn("sequence_id", F.floor(F.col("row_id") / 10).cast("bigint")),
                       "sequence_id")
+    g = materialize(g, "group-split", partition_by=("split",))
     filled, _ = C.fill_median(g, FEATURES, fit_on=g.where(F.col("split") == "train"))
     out, _ = X.minmax_scale(filled, FEATURES, fit_on=filled.where(F.col("split") == "train"))
     return out.select("row_id", "split", *_feat_r6(out))
