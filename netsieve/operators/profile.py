@@ -268,3 +268,13 @@ def first_row_per_label(df: DataFrame, label_col: str, order_col: str, cols,
     first = df.groupBy(label_col).agg(F.min(F.struct(order_col, *cols)).alias("s"))
     return (first.select(label_col, "s.*")
             .orderBy(order_col).limit(n_labels))
+
+
+def preview(df: DataFrame, order_cols, n: int = 3) -> DataFrame:
+    """The first ``n`` rows in a defined order (a bounded top-k, not a scan)."""
+    return df.orderBy(*order_cols).limit(n)
+
+
+def shape(df: DataFrame) -> tuple[int, int]:
+    """(rows, columns)."""
+    return df.count(), len(df.columns)

@@ -97,3 +97,15 @@ def event_time_sequences(df: DataFrame, key_cols, ts_col: str, feature_cols, lab
             .select(*key_cols, F.col("w.start").alias("window_start"),
                     F.col("w.end").alias("window_end"), "n_rows",
                     F.transform("rows", lambda r: r["x"]).alias("seq"), "is_attack"))
+
+
+def summary(flows_df: DataFrame, sequences: DataFrame, feature_cols, label_col: str,
+            length: int) -> DataFrame:
+    """X11: one-row data summary -- rows, features, classes, sequence length and count."""
+    stats = flows_df.agg(F.count(F.lit(1)).alias("n_rows"),
+                         F.count_distinct(label_col).alias("n_classes")).first()
+    n_seq = sequences.count()
+    return flows_df.sparkSession.createDataFrame(
+        [(stats["n_rows"], len(list(feature_cols)), stats["n_classes"], length, n_seq)],
+        "n_rows bigint, n_features bigint, n_classes bigint, seq_length bigint, "
+        "n_sequences bigint")

@@ -84,3 +84,17 @@ def with_synthetic_prediction(df: DataFrame, name: str = "prediction",
 def with_binary_score(df: DataFrame, name: str = "score") -> DataFrame:
     """Stand-in attack probability in (0, 1): (k + 1) / 101."""
     return df.withColumn(name, (F.col("total_fwd_packets") + 1) / F.lit(101.0))
+
+
+# Larger-scale stand-in: lineitem as a flow table (FIXTURES, part B).
+LINEITEM_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                  "l_extendedprice", "l_shipdate"]
+LINEITEM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def lineitem_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with label = l_returnflag and day = weekday of l_shipdate (no dense key)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(*LINEITEM_ORDER, "l_discount", "l_tax",
+                     F.col("l_returnflag").alias("label"),
+                     F.date_format("l_shipdate", "EEEE").alias("day"))
