@@ -28,26 +28,36 @@ SIZE = "_n"
 
 def hash_rank(df: DataFrame, id_col: str, class_cols=(), seed: int = DEFAULT_SEED,
               digits: int = 4) -> DataFrame:
-    """Add ``_rank`` (0-based position inside its class in md5 order) and ``_n``."""
+    """Add ``_rank`` (0-based position inside its class in md5 order) and ``_n``.
+
+    The class is carried as non-null key columns (value as string + null flag)
+    so the window, the bucket counts and the join all use the same
+    hash-partitioning expressions: the large ranked side is shuffled once (by
+    the window) and the join reuses that partitioning, while the small count
+    table moves (or is broadcast by AQE once measured).
+    """
     classes = list(class_cols)
-    t = (df.withColumn("_h", hash_key(id_col, seed))
-           .withColumn("_b", hash_bucket(F.col("_h"), digits)))
-    counts = t.groupBy(*classes, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    cum = Window.partitionBy(*classes).orderBy("_b")
+    keys = []
+    t = df
+    for i, c in enumerate(classes):
+        t = (t.withColumn(f"_c{i}", F.coalesce(F.col(c).cast("string"), F.lit("")))
+              .withColumn(f"_z{i}", F.col(c).isNull()))
+        keys += [f"_c{i}", f"_z{i}"]
+    t = (t.withColumn("_h", hash_key(id_col, seed))
+          .withColumn("_b", hash_bucket(F.col("_h"), digits)))
+    counts = t.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    cum = Window.partitionBy(*keys).orderBy("_b")
     counts = (counts
               .withColumn("_start", F.coalesce(
                   F.sum("_cnt").over(cum.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn(SIZE, F.sum("_cnt").over(Window.partitionBy(*classes)))
+              .withColumn(SIZE, F.sum("_cnt").over(Window.partitionBy(*keys)))
               .drop("_cnt"))
-    inner = Window.partitionBy(*classes, "_b").orderBy("_h", id_col)
+    inner = Window.partitionBy(*keys, "_b").orderBy("_h", id_col)
     ranked = t.withColumn("_in", F.row_number().over(inner) - 1)
-    c = counts.alias("c")
-    r = ranked.alias("r")
-    cond = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in classes + ["_b"]]
-    joined = r.join(c, cond).select(
-        "r.*", (F.col("c._start") + F.col("r._in")).cast("bigint").alias(RANK),
-        F.col(f"c.{SIZE}").cast("bigint").alias(SIZE))
-    return joined.drop("_h", "_b", "_in")
+    joined = ranked.join(counts, keys + ["_b"])
+    return (joined.withColumn(RANK, (F.col("_start") + F.col("_in")).cast("bigint"))
+            .withColumn(SIZE, F.col(SIZE).cast("bigint"))
+            .drop("_h", "_b", "_in", "_start", *keys))
 
 
 def dec(x: float) -> Column:

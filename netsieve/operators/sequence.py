@@ -1,10 +1,10 @@
 """Flow sequences: tumbling and sliding count windows, event-time windows.
 
-Both count windows are built by *grouping* on a window id instead of a
-window function over a global order, so no step needs all rows in one task:
-a tumbling window is ``groupBy(floor(row_id / L))``; a sliding window
-explodes each row into the (at most L) window starts that contain it and
-groups by start.  Every group holds at most L rows by construction.
+Neither count window uses a window function over one global order, so no
+step needs all rows in one task: a tumbling window is
+``groupBy(floor(row_id / L))`` (groups of at most L rows); a sliding window
+runs a bounded frame inside fixed-size blocks of the index, each block
+extended by the L - 1 rows that follow it.
 """
 
 from __future__ import annotations
@@ -45,24 +45,36 @@ def tumbling_sequences(df: DataFrame, order_col: str, feature_cols, label_col: s
 
 
 def sliding_sequences(df: DataFrame, order_col: str, feature_cols, label_col: str,
-                      length: int = 5, benign: str = "BENIGN") -> DataFrame:
+                      length: int = 5, benign: str = "BENIGN",
+                      block_rows: int = 1 << 16) -> DataFrame:
     """W4 + A17: windows of ``length`` consecutive rows, stride 1, label = any attack.
 
     ``order_col`` must be a dense 0-based index (see ``with_row_index``); a
     window is kept only when all ``length`` rows exist, giving n - length + 1
     windows.  Like the reference, windows run across day and file borders.
+
+    Plan: the index is cut into blocks of ``block_rows``; the first
+    ``length - 1`` rows of each block are copied into the previous block (a
+    halo), and a frame ``rows between current row and length-1 following``
+    runs per block.  The shuffle moves about n rows (not length x n), and no
+    window partition holds more than ``block_rows + length - 1`` rows.
     """
-    o = F.col(order_col)
-    starts = F.sequence(F.greatest(o - (length - 1), F.lit(0)).cast("bigint"), o.cast("bigint"))
-    ex = df.select(o.alias("o"), _features_array(feature_cols).alias("x"),
-                   is_attack(label_col, benign).alias("y"),
-                   F.explode(starts).alias("start"))
-    g = ex.groupBy("start").agg(
-        F.sort_array(F.collect_list(F.struct("o", "x"))).alias("rows"),
-        F.max("y").alias("is_attack"), F.count(F.lit(1)).alias("n_rows"))
-    return (g.where(F.col("n_rows") == length)
-            .select("start", "n_rows", F.transform("rows", lambda r: r["x"]).alias("seq"),
-                    "is_attack"))
+    base = df.select(F.col(order_col).cast("bigint").alias("o"),
+                     _features_array(feature_cols).alias("x"),
+                     is_attack(label_col, benign).alias("y"))
+    o = F.col("o")
+    blk = F.floor(o / block_rows).cast("bigint")
+    own = base.withColumn("blk", blk).withColumn("halo", F.lit(False))
+    halo = (base.where(((o % block_rows) < (length - 1)) & (o >= block_rows))
+            .withColumn("blk", blk - 1).withColumn("halo", F.lit(True)))
+    w = Window.partitionBy("blk").orderBy("o").rowsBetween(0, length - 1)
+    framed = own.unionByName(halo).select(
+        F.col("o").alias("start"), "halo",
+        F.count(F.lit(1)).over(w).alias("n_rows"),
+        F.collect_list("x").over(w).alias("seq"),
+        F.max("y").over(w).alias("is_attack"))
+    return (framed.where(~F.col("halo") & (F.col("n_rows") == length))
+            .select("start", "n_rows", "seq", "is_attack"))
 
 
 def sliding_sequences_by(df: DataFrame, partition_cols, order_col: str, feature_cols,

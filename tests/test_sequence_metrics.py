@@ -78,3 +78,13 @@ def test_row_index_dense_in_order(spark):
     got = [(r["f"], r["pos"]) for r in out.orderBy("rid").collect()]
     assert got == sorted((f"f{i % 3}", i) for i in range(500))
     assert [r["rid"] for r in out.orderBy("rid").collect()] == list(range(500))
+
+
+def test_sliding_blocks_match_small_block_size(spark):
+    df = _rows(spark, 53, lambda i: "DDoS" if i % 9 == 0 else "BENIGN")
+    big = {r["start"]: (r["is_attack"], [v[0] for v in r["seq"]]) for r in
+           Q.sliding_sequences(df, "row_id", ["x"], "label", 5).collect()}
+    small = {r["start"]: (r["is_attack"], [v[0] for v in r["seq"]]) for r in
+             Q.sliding_sequences(df, "row_id", ["x"], "label", 5, block_rows=7).collect()}
+    assert big == small and len(big) == 49
+    assert big[0][1] == [0.0, 1.0, 2.0, 3.0, 4.0]
