@@ -12,6 +12,8 @@ from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netsieve.functions.joins import join_bounded
+
 
 def label_index(df: DataFrame, label_col: str = "label", out_col: str = "label_idx",
                 fit_on: DataFrame | None = None, handle_invalid: str = "error"):
@@ -132,7 +134,7 @@ def pos_weight(df: DataFrame, y_col: str) -> DataFrame:
 
 def attach_class_weights(df: DataFrame, label_col: str = "label",
                          weight_col: str = "weight") -> DataFrame:
-    """Per-row class weight.  The class table has one row per class; AQE
-    turns the join into a broadcast once it has measured that side."""
+    """Per-row class weight.  The class table (one row per class) is
+    broadcast after its size is checked; a hot class never meets a shuffle."""
     w = class_weights(df, label_col).select(label_col, F.col("weight").alias(weight_col))
-    return df.join(w, label_col)
+    return join_bounded(df, w, label_col)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netsieve.functions.joins import join_bounded
 from netsieve.functions.hashing import DEFAULT_SEED, hash_key, hash_uniform
 from netsieve.operators.ranking import RANK, SIZE, ceil_frac, floor_frac, hash_rank, round_frac
 
@@ -59,7 +60,9 @@ def group_split(df: DataFrame, group_col: str, frac: float = 0.2, name: str = "t
     ranked = hash_rank(groups, group_col, [], seed)
     tagged = ranked.select(group_col, F.when(F.col(RANK) < ceil_frac(SIZE, frac), F.lit(name))
                            .otherwise(F.lit(rest)).alias(split_col))
-    return df.join(tagged, group_col)
+    # One row per group: broadcast when the group count is bounded, else a salted join
+    # (a single group may hold a large share of the rows).
+    return join_bounded(df, tagged, group_col)
 
 
 def rows_in_groups(df: DataFrame, groups: DataFrame, group_col: str,
@@ -110,7 +113,7 @@ def oversample_balanced(df: DataFrame, label_col: str, id_col: str,
     u = hash_uniform(hash_key(id_col, seed))
     base = F.floor("weight")
     copies = (base + F.when(u < F.col("weight") - base, 1).otherwise(0)).cast("int")
-    with_w = df.join(w, label_col)
+    with_w = join_bounded(df, w, label_col)
     return (with_w.withColumn("_copies", copies).where(F.col("_copies") > 0)
             .withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col("_copies"))))
             .drop("_copies", "weight"))

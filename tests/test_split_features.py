@@ -117,3 +117,16 @@ def test_class_weights_balanced(spark):
     df = spark.createDataFrame([("a",)] * 3 + [("b",)], "label string")
     w = {r["label"]: r["weight"] for r in X.class_weights(df).collect()}
     assert w == {"a": 4 / 6, "b": 2.0}
+
+
+def test_join_bounded_salted_path_equals_plain_join(spark):
+    from netsieve.functions.joins import join_bounded
+    big = spark.range(2000).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("k"))
+    small = spark.createDataFrame([(0, "a"), (1, "b")], "k int, v string")
+    plain = sorted(tuple(r) for r in big.join(small, "k").collect())
+    salted = sorted(tuple(r) for r in
+                    join_bounded(big, small, "k", max_rows=0, salt=8).select(*big.columns, "v")
+                    .select("k", "id", "v").collect())
+    assert plain == salted
+    bc = sorted(tuple(r) for r in join_bounded(big, small, "k").select("k", "id", "v").collect())
+    assert plain == bc
