@@ -278,3 +278,15 @@ def preview(df: DataFrame, order_cols, n: int = 3) -> DataFrame:
 def shape(df: DataFrame) -> tuple[int, int]:
     """(rows, columns)."""
     return df.count(), len(df.columns)
+
+
+def feature_group_counts(df: DataFrame, cols=None) -> DataFrame:
+    """(group, feature, n_values) for the packet / flag / timing feature groups."""
+    from netsieve.functions.columns import feature_groups
+    pairs = feature_groups(cols if cols is not None else df.columns)
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "group string, feature string, n_values bigint")
+    row = df.agg(F.array(*[
+        F.struct(F.lit(g).alias("group"), F.lit(c).alias("feature"),
+                 F.count(c).alias("n_values")) for g, c in pairs]).alias("a"))
+    return row.select(F.explode("a").alias("s")).select("s.*")

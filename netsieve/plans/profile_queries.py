@@ -145,3 +145,15 @@ SELECT label, row_id, {', '.join(KEY_STAT_COLUMNS)} FROM (
 WHERE rn = 1 ORDER BY row_id LIMIT 5""")
 def first_row_per_label(spark, sf_dir):
     return P.first_row_per_label(flows(spark, sf_dir), "label", "row_id", KEY_STAT_COLUMNS, 5)
+
+
+def _groups_sql() -> str:
+    from netsieve.functions.columns import feature_groups
+    return with_ctes(FLOWS_CTE, clean_cte()) + "\n" + "\nUNION ALL\n".join(
+        f"SELECT '{g}' AS \"group\", '{c}' AS feature, count({c}) AS n_values FROM clean"
+        for g, c in feature_groups(FEATURES))
+
+
+@register("feature_groups", _groups_sql())
+def feature_groups(spark, sf_dir):
+    return P.feature_group_counts(clean_flows(spark, sf_dir), FEATURES)

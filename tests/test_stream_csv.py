@@ -68,7 +68,9 @@ def test_stream_restart_continues_counters(spark):
     msgs = MSG.message_table(spark, SF_SMALL).repartitionByRange(4, "row_id")
     src = f"{base}/src"
     msgs.where("row_id < 600").write.parquet(src)
-    SC.run(MSG.read_stream(spark, src), f"{base}/out", f"{base}/ckpt")
+    q = SC.run(MSG.read_stream(spark, src), f"{base}/out", f"{base}/ckpt")
+    prog = SC.progress_log(spark, q).collect()
+    assert len(prog) >= 4 and sum(r["input_rows"] for r in prog) == 600
     first = SC.latest_state(spark, f"{base}/out", "counters").first()["total"]
     msgs.where("row_id >= 600").write.mode("append").parquet(src)
     SC.run(MSG.read_stream(spark, src), f"{base}/out", f"{base}/ckpt")
