@@ -19,12 +19,17 @@ from netsieve.sources.tables import read_table
 LI_ORDER_SQL = ", ".join(LINEITEM_ORDER)
 
 
+LI_OUT_SQL = ", ".join(c if c != "l_shipdate" else "strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate"
+                      for c in LINEITEM_ORDER)
+
+
 @register("lineitem_row_index", f"""
-SELECT row_number() OVER (ORDER BY {LI_ORDER_SQL}) - 1 AS row_id, {LI_ORDER_SQL}
+SELECT row_number() OVER (ORDER BY {LI_ORDER_SQL}) - 1 AS row_id, {LI_OUT_SQL}
 FROM lineitem""")
 def lineitem_row_index(spark, sf_dir):
     li = lineitem_flows(spark, sf_dir).select(*LINEITEM_ORDER)
-    return with_row_index(li, LINEITEM_ORDER, "row_id")
+    out = with_row_index(li, LINEITEM_ORDER, "row_id")
+    return out.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
 
 
 @register("lineitem_split_stratified", f"""
