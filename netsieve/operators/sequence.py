@@ -94,14 +94,19 @@ def sliding_sequences_by(df: DataFrame, partition_cols, order_col: str, feature_
 
 
 def event_time_sequences(df: DataFrame, key_cols, ts_col: str, feature_cols, label_col: str,
-                         window: str = "1 minute", benign: str = "BENIGN") -> DataFrame:
+                         window: str = "1 minute", benign: str = "BENIGN",
+                         order_col: str | None = None) -> DataFrame:
     """Flows grouped by entity (e.g. IP pair) and a tumbling event-time window.
 
-    Works on batch and streaming frames (add a watermark on ``ts_col`` for streams).
+    Works on batch and streaming frames; on a stream, cast ``ts_col`` to
+    TIMESTAMP and add a watermark first (a watermark needs TIMESTAMP, not
+    TIMESTAMP_NTZ).  Rows inside a sequence are ordered by time, then
+    ``order_col``.  A sequence holds all flows of one entity in one window.
     """
-    ts = F.col(ts_col).cast("timestamp")
+    ts = F.col(ts_col)
+    tie = [F.col(order_col).alias("o")] if order_col else []
     return (df.groupBy(*key_cols, F.window(ts, window).alias("w"))
-            .agg(F.sort_array(F.collect_list(F.struct(ts.alias("t"),
+            .agg(F.sort_array(F.collect_list(F.struct(ts.alias("t"), *tie,
                                                       _features_array(feature_cols).alias("x"))))
                  .alias("rows"),
                  F.max(is_attack(label_col, benign)).alias("is_attack"),

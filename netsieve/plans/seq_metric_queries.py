@@ -299,3 +299,16 @@ def early_stop_history(spark, sf_dir):
     return out.select("run", "epoch", F.round("metric", 6).alias("metric"),
                       F.round("best", 6).alias("best"), "improved", "epochs_no_improve",
                       "is_best", "stopped")
+
+
+@register("event_time_sequences", with_ctes(FLOWS_CTE) + """
+SELECT src_ip, strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+  count(*) AS n_rows, max(CASE WHEN label = 'BENIGN' THEN 0 ELSE 1 END) AS is_attack,
+  string_agg(CAST(total_fwd_packets AS VARCHAR), ',' ORDER BY ts, row_id) AS fwd_seq
+FROM flows GROUP BY src_ip, time_bucket(INTERVAL '1 hour', ts)""")
+def event_time_sequences(spark, sf_dir):
+    s = Q.event_time_sequences(flows(spark, sf_dir), ["src_ip"], "ts", FEATURES, "label",
+                               window="1 hour", order_col="row_id")
+    return s.select("src_ip", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
+                    .alias("window_start"), "n_rows", "is_attack",
+                    _int_seq("seq", FWD).alias("fwd_seq"))

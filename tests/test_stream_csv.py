@@ -108,3 +108,27 @@ def test_csv_ingest_special_values_and_corrupt_file(spark):
         raise AssertionError("expected a corrupt file")
     except OSError:
         pass
+
+
+def test_event_time_sequences_stream_matches_batch(spark):
+    from netsieve.operators.sequence import event_time_sequences
+    from netsieve.sources.flows import FEATURES, flows
+    base = scratch_path(spark, "w7-stream")
+    f = flows(spark, SF_SMALL).withColumn("ts", F.col("ts").cast("timestamp"))
+    n = f.count()
+    for i in range(4):  # one file per write, in time order (the source orders by mtime)
+        f.where((F.col("row_id") >= i * n // 4) & (F.col("row_id") < (i + 1) * n // 4)) \
+            .coalesce(1).write.mode("append").parquet(f"{base}/src")
+    stream = (spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{base}/src").withWatermark("ts", "1 hour"))
+    seqs = event_time_sequences(stream, ["src_ip"], "ts", FEATURES, "label", "1 day", "row_id")
+    q = (seqs.select("src_ip", "window_start", "n_rows", "is_attack").writeStream
+         .outputMode("append").format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {(r["src_ip"], r["window_start"]): (r["n_rows"], r["is_attack"])
+           for r in spark.read.parquet(f"{base}/out").collect()}
+    batch = {(r["src_ip"], r["window_start"]): (r["n_rows"], r["is_attack"])
+             for r in event_time_sequences(f, ["src_ip"], "ts", FEATURES, "label", "1 day",
+                                           "row_id").collect()}
+    assert got and all(batch[k] == v for k, v in got.items())
