@@ -196,13 +196,21 @@ def _pair_corr(x: str, y: str):
 def correlation_pairs(df: DataFrame, cols) -> DataFrame:
     """(feature_a, feature_b, corr) for every unordered pair, one aggregation pass.
 
+    Each row emits one (pair, x, y) record per pair with both values present
+    (pairwise-complete, like pandas), and one grouped aggregation with three
+    moment functions -- partial per task, one row per pair -- yields every r.
     Input must be NaN-free (NaN -> NULL); constant columns yield NULL.
     """
     pairs = list(combinations(cols, 2))
-    row = df.agg(F.array(*[
+    recs = F.explode(F.array(*[
         F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                 _pair_corr(a, b).alias("corr")) for a, b in pairs]).alias("a"))
-    return row.select(F.explode("a").alias("s")).select("s.*")
+                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for a, b in pairs]))
+    long = df.select(recs.alias("r")).select("r.*") \
+             .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return long.groupBy("feature_a", "feature_b").agg(
+        F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
+        .alias("corr"))
 
 
 def high_corr_pairs(df: DataFrame, cols, lo: float = 0.95, hi: float = 1.0 - 1e-9,

@@ -75,20 +75,24 @@ def order_statistics(long: DataFrame, targets, counts: dict[str, int],
                 lo = wlo if probs[t][0] <= 0.0 else max(lo, wlo)
                 hi = whi if probs[t][1] >= 1.0 else min(hi, whi)
                 bands[t] = (lo, hi)
-        # Rows below and inside each band, within the window (one conditional aggregation).
-        cnt = []
-        for i, t in enumerate(keys):
-            wlo = state[t][0]
-            lo, hi = bands[t]
-            cnt.append(F.count_if((feat == t[0]) & (v >= wlo) & (v < lo)).alias(f"b{i}"))
-            cnt.append(F.count_if((feat == t[0]) & (v >= lo) & (v <= hi)).alias(f"i{i}"))
-        crow = long.agg(*cnt).collect()[0]
+        # Rows below and inside each band, within the window: the band table (one row per
+        # target, a bounded broadcast) joins the values of its feature, then one small
+        # grouped aggregation (partial per task) counts per target.
+        bt = spark.createDataFrame(
+            [(t[0], t[1], float(state[t][0]), float(bands[t][0]), float(bands[t][1]))
+             for t in keys], "feature string, k long, wlo double, lo double, hi double")
+        counted = (long.join(F.broadcast(bt), "feature")
+                   .groupBy("feature", "k")
+                   .agg(F.count_if((v >= F.col("wlo")) & (v < F.col("lo"))).alias("below"),
+                        F.count_if((v >= F.col("lo")) & (v <= F.col("hi"))).alias("inside"))
+                   .collect())
+        crow = {(r["feature"], r["k"]): (r["below"], r["inside"]) for r in counted}
         finish = []
         nxt = {}
-        for i, t in enumerate(keys):
+        for t in keys:
             wlo, whi, r, n = state[t]
             lo, hi = bands[t]
-            below, inside = crow[f"b{i}"], crow[f"i{i}"]
+            below, inside = crow.get(t, (0, 0))
             if below <= r < below + inside:
                 if inside <= max_band_rows:
                     finish.append((t[0], t[1], float(lo), float(hi), r - below))
