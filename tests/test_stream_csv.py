@@ -132,3 +132,19 @@ def test_event_time_sequences_stream_matches_batch(spark):
              for r in event_time_sequences(f, ["src_ip"], "ts", FEATURES, "label", "1 day",
                                            "row_id").collect()}
     assert got and all(batch[k] == v for k, v in got.items())
+
+
+def test_state_store_counters_equal_folded_counters(spark):
+    from netsieve.plans.seq_metric_queries import message_files, stream_run
+    path = message_files(spark, SF_SMALL)
+    base = scratch_path(spark, "counters-complete")
+    agg = SC.counters_stream(SC.scored_stream(MSG.read_stream(spark, path)))
+    q = (agg.writeStream.outputMode("complete")
+         .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{base}/c"))
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    state_store = spark.read.parquet(f"{base}/c").first().asDict()
+    folded = SC.latest_state(spark, stream_run(spark, SF_SMALL), "counters").first().asDict()
+    for k in ("total", "malicious", "benign", "suspicious"):
+        assert state_store[k] == folded[k]
+    assert state_store["threat_level"] in ("CRITICAL", "NOMINAL")
