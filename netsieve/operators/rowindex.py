@@ -6,7 +6,7 @@ task.  Instead:
 1. range-partition by the order key and sort inside partitions;
 2. tag rows with (partition id, position in partition) from
    ``monotonically_increasing_id`` (upper 31 bits = partition, lower 33 = position);
-3. materialise that table (a checkpoint in the shared checkpoint folder, so a
+3. materialise that table (parquet in the shared checkpoint folder, so a
    recomputation cannot move partition borders and a lost executor is
    recovered from files);
 4. count rows per partition -- one row per partition, a bounded broadcast --
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsieve.session import checkpoint_dir
+from netsieve.sources.sinks import materialize
 
 _LOW = (1 << 33) - 1
 
@@ -35,7 +36,9 @@ def with_row_index(df: DataFrame, order_cols, out_col: str = "row_id",
     tagged = sorted_df.withColumn("_mid", mid).select(
         "*", F.shiftright("_mid", 33).cast("int").alias("_pid"),
         F.col("_mid").bitwiseAND(F.lit(_LOW)).alias("_pos")).drop("_mid")
-    tagged = tagged.checkpoint(eager=True)
+    # Materialise as a parquet table in the shared folder (columnar, compressed); the
+    # (partition, position) tags are data, so a re-read cannot move them.
+    tagged = materialize(tagged, "row-index")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_cnt")
