@@ -21,7 +21,7 @@ def _unpivot(row_df: DataFrame, value_names: list[str], out: str) -> DataFrame:
 
 
 def frequency(df: DataFrame, col: str, pct_digits: int = 2) -> DataFrame:
-    """A1 + A2: value counts with percentage share, most frequent first.
+    """A1 + A2 + T3: value counts with percentage share, most frequent first (ties by value).
 
     The share is a window over the aggregated counts (one row per value), not
     over the input rows.
@@ -279,7 +279,7 @@ def first_row_per_label(df: DataFrame, label_col: str, order_col: str, cols,
 
 
 def preview(df: DataFrame, order_cols, n: int = 3) -> DataFrame:
-    """The first ``n`` rows in a defined order (a bounded top-k, not a scan)."""
+    """C16 + T4: the first ``n`` rows in a defined order (a bounded top-k, not a scan)."""
     return df.orderBy(*order_cols).limit(n)
 
 

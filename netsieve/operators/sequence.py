@@ -27,7 +27,7 @@ def sequence_ids(df: DataFrame, order_col: str, length: int = 10,
 
 def tumbling_sequences(df: DataFrame, order_col: str, feature_cols, label_col: str,
                        length: int = 10) -> DataFrame:
-    """W3 + A16 + A18: full windows of ``length`` rows, ordered features, majority label.
+    """W3 + A16 + A18 + G2: full windows of ``length`` rows, ordered features, majority label.
 
     Output: sequence_id, first_row, n_rows, seq (array<array<double>>), label.
     The majority label breaks ties toward the smallest label (smallest class index).
@@ -47,7 +47,7 @@ def tumbling_sequences(df: DataFrame, order_col: str, feature_cols, label_col: s
 def sliding_sequences(df: DataFrame, order_col: str, feature_cols, label_col: str,
                       length: int = 5, benign: str = "BENIGN",
                       block_rows: int = 1 << 16) -> DataFrame:
-    """W4 + A17: windows of ``length`` consecutive rows, stride 1, label = any attack.
+    """W4 + A17 + G3: windows of ``length`` consecutive rows, stride 1, label = any attack.
 
     ``order_col`` must be a dense 0-based index (see ``with_row_index``); a
     window is kept only when all ``length`` rows exist, giving n - length + 1

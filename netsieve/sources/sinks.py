@@ -24,7 +24,11 @@ def write_versioned(df: DataFrame, name: str, partition_by=(), root: str | None
 
 
 def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:
-    """K2: write a reused intermediate (e.g. the split table) once and read it back.
+    """K2 + S5 + J1: write a reused intermediate (e.g. the split table) once and read it back.
+
+    Features, label and split live in ONE table keyed by ``row_id`` (no
+    positional pairing of feature and label files); readers select a split with
+    ``where(split = ...)``, which prunes to that partition folder.
 
     Later statistics passes then scan files instead of recomputing the
     lineage (shuffles included), and a lost executor costs a file re-read.
