@@ -46,7 +46,7 @@ def tumbling_sequences(df: DataFrame, order_col: str, feature_cols, label_col: s
 
 def sliding_sequences(df: DataFrame, order_col: str, feature_cols, label_col: str,
                       length: int = 5, benign: str = "BENIGN",
-                      block_rows: int = 1 << 16) -> DataFrame:
+                      block_rows: int = 1 << 13) -> DataFrame:
     """W4 + A17 + G3: windows of ``length`` consecutive rows, stride 1, label = any attack.
 
     ``order_col`` must be a dense 0-based index (see ``with_row_index``); a
