@@ -150,31 +150,36 @@ def attack_ratio(df: DataFrame, label_col: str = "label", digits: int = 6) -> Da
                   rounded(F.avg(a), digits).alias("attack_ratio"))
 
 
-def describe(df: DataFrame, cols, digits: int = 6, **qkw) -> DataFrame:
+def describe(df: DataFrame, cols, digits: int = 6, accuracy: int = Q.ACCURACY,
+             max_band_rows: int = Q.MAX_BAND_ROWS) -> DataFrame:
     """A10: count, mean, sample std, min, quartiles, max and std/(mean+1e-8) per feature.
 
-    Moments come from one aggregation; quartiles from the bounded exact
-    quantile operator.  Missing values (NULL/NaN) are ignored.
+    One long (feature, value) table -- missing values (NULL/NaN) dropped -- is
+    persisted and feeds both the moments (a grouped aggregation, partial per
+    task) and the bounded exact quantile passes.
     """
+    from pyspark import StorageLevel
     cols = list(cols)
-    frac = set(fractional_columns(df))
-
-    def x(c):
-        return F.when(F.isnan(c), F.lit(None)).otherwise(F.col(c)).cast("double") \
-            if c in frac else F.col(c).cast("double")
-    moments = df.agg(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.count(x(c)).alias("count"),
-                 F.avg(x(c)).alias("mean"), F.stddev_samp(x(c)).alias("std"),
-                 F.min(x(c)).alias("min"), F.max(x(c)).alias("max"))
-        for c in cols]).alias("a")).select(F.explode("a").alias("s")).select("s.*")
-    qs, _ = Q.quantiles(df, cols, [0.25, 0.5, 0.75], **qkw)
-    spark = df.sparkSession
-    qdf = spark.createDataFrame(
-        [(c, qs[c][0.25], qs[c][0.5], qs[c][0.75]) for c in cols],
-        "feature string, p25 double, p50 double, p75 double")
-    out = moments.join(F.broadcast(qdf), "feature")
+    long = Q.long_values(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        v = F.col("v")
+        moments = {r["feature"]: r for r in long.groupBy("feature").agg(
+            F.count(F.lit(1)).alias("count"), F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")).collect()}
+        qs, _ = Q._quantiles(long, cols, [0.25, 0.5, 0.75], accuracy, max_band_rows)
+    finally:
+        long.unpersist()
+    rows = []
+    for c in cols:
+        m = moments.get(c)
+        rows.append((c, m["count"] if m else 0, m["mean"] if m else None,
+                     m["std"] if m else None, m["min"] if m else None,
+                     qs[c][0.25], qs[c][0.5], qs[c][0.75], m["max"] if m else None))
+    out = df.sparkSession.createDataFrame(
+        rows, "feature string, count bigint, mean double, std double, min double, "
+              "p25 double, p50 double, p75 double, max double")
     return out.select(
-        "feature", F.col("count").cast("bigint").alias("count"),
+        "feature", "count",
         rounded("mean", digits).alias("mean"), rounded("std", digits).alias("std"),
         rounded("min", digits).alias("min"), rounded("p25", digits).alias("p25"),
         rounded("p50", digits).alias("p50"), rounded("p75", digits).alias("p75"),
