@@ -43,22 +43,27 @@ def vocabulary(*dfs: DataFrame, label_col: str = "label") -> DataFrame:
     return out.distinct()
 
 
-def one_hot(df: DataFrame, cols, drop_first: bool = True, exclude=()) -> DataFrame:
+def one_hot(df: DataFrame, cols, drop_first: bool = True, exclude=(),
+            categories: dict | None = None) -> DataFrame:
     """0/1 columns ``<col>_<value>`` per category, the alphabetically first dropped.
 
     The category list comes from one distinct-values aggregation per call (a
-    statistics row), the indicator columns are plain ``when`` projections.
+    statistics row) unless ``categories`` ({col: [values]}) fixes it -- e.g. the
+    list fitted on train, or a fixed schema for a stream.  The indicator
+    columns are plain ``when`` projections.
     """
     cols = [c for c in cols if c not in set(exclude)]
     if not cols:
         return df
-    # Distinct (column, value) pairs: a distributed distinct, only categories reach the driver.
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
-        .alias("p")).select("p.*").where(F.col("v").isNotNull()).distinct().collect()
-    cats: dict[str, list] = {c: [] for c in cols}
-    for r in pairs:
-        cats[r["c"]].append(r["v"])
+    cats: dict[str, list] = {c: list((categories or {}).get(c, [])) for c in cols}
+    todo = [c for c in cols if not (categories and c in categories)]
+    if todo:
+        # Distinct (column, value) pairs: a distributed distinct; only categories reach the driver.
+        pairs = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in todo]))
+            .alias("p")).select("p.*").where(F.col("v").isNotNull()).distinct().collect()
+        for r in pairs:
+            cats[r["c"]].append(r["v"])
     exprs = {}
     for c in cols:
         values = sorted(cats[c])

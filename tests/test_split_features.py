@@ -106,6 +106,8 @@ def test_one_hot_drops_first(spark):
     out = X.one_hot(df, ["day", "label"], exclude=["label"])
     assert [c for c in out.columns if c.startswith("day_")] == ["day_b", "day_c"]
     assert "label" in out.columns
+    fixed = X.one_hot(df, ["day"], categories={"day": ["a", "b", "z"]})
+    assert [c for c in fixed.columns if c.startswith("day_")] == ["day_b", "day_z"]
 
 
 def test_null_label_is_attack(spark):
