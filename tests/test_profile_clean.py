@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from netsieve.functions.columns import feature_groups, strip_column_names
 from netsieve.operators import clean as C
@@ -114,3 +115,10 @@ def test_first_row_per_label(spark):
     got = [(r["label"], r["row_id"]) for r in
            P.first_row_per_label(df, "label", "row_id", ["x"], 2).collect()]
     assert got == [("c", 0), ("a", 1)]
+
+
+def test_distinct_counts_approximate_path(spark):
+    df = spark.range(5000).select((F.col("id") % 1000).cast("double").alias("x"))
+    exact = P.distinct_counts(df, ["x"]).first()["n_distinct"]
+    approx = P.distinct_counts(df, ["x"], exact=False).first()["n_distinct"]
+    assert exact == 1000 and abs(approx - 1000) < 60
