@@ -121,4 +121,4 @@ def test_distinct_counts_approximate_path(spark):
     df = spark.range(5000).select((F.col("id") % 1000).cast("double").alias("x"))
     exact = P.distinct_counts(df, ["x"]).first()["n_distinct"]
     approx = P.distinct_counts(df, ["x"], exact=False).first()["n_distinct"]
-    assert exact == 1000 and abs(approx - 1000) < 60
+    assert exact == 1000 and abs(approx - 1000) <= 150  # 3 x the default 5 % rsd
