@@ -148,3 +148,9 @@ def test_state_store_counters_equal_folded_counters(spark):
     for k in ("total", "malicious", "benign", "suspicious"):
         assert state_store[k] == folded[k]
     assert state_store["threat_level"] in ("CRITICAL", "NOMINAL")
+
+
+def test_latest_state_before_any_batch_is_empty(spark):
+    out = scratch_path(spark, "no-batches")
+    assert SC.latest_state(spark, out, "counters").count() == 0
+    assert SC.latest_state(spark, out, "last50").columns[0] == "row_id"
