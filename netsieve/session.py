@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -43,8 +46,10 @@ def get_session(master: str | None = None, app: str = "netsieve",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` (or the context's current setting); only
-    when neither is set (local runs, tests) a private folder is created.
+    Reads ``spark.checkpoint.dir`` from the session.  Only a session whose
+    driver and tasks share one JVM (master ``local`` / ``local[n]``, as in
+    tests) may fall back to a private folder; on any other master an unset
+    folder is an error, because executors could not read each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,7 +58,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on master {sc.master}")
         configured = tempfile.mkdtemp(prefix="netsieve-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
