@@ -27,3 +27,14 @@ def query(name: str, sql: str | None = None):
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netsieve.llm.op5_minhash_forest import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+def _op6_sql() -> str:
+    from netsieve.llm.op6_mixing import oracle
+    return oracle()
+
+
+@query("op6_mixing", _op6_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netsieve.llm.op6_mixing import mix_report
+    return mix_report(table(spark, sf_dir, "documents"))
