@@ -38,3 +38,17 @@ def _op6_sql() -> str:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netsieve.llm.op6_mixing import mix_report
     return mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netsieve.llm.op2_topk import quantised, top_k
+    vectors = quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(vectors, vectors.where("id % 50 = 0"))
