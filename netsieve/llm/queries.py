@@ -52,3 +52,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netsieve.llm.op2_topk import quantised, top_k
     vectors = quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_k(vectors, vectors.where("id % 50 = 0"))
+
+
+@query("op8_quality_gam")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netsieve.llm.op8_quality_gam import quality_scores
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_toxicity_fm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netsieve.llm.op9_toxicity_fm import toxicity_scores
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

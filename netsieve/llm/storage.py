@@ -51,6 +51,6 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([*known, root])
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     workers_import(df.sparkSession)
     return df.mapInArrow(fn, schema)
