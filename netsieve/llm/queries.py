@@ -64,3 +64,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netsieve.llm.op9_toxicity_fm import toxicity_scores
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op7_records")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netsieve.llm.op7_records import tokenised
+    return tokenised(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netsieve.llm.op4_token_counts import token_counts
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
