@@ -21,7 +21,6 @@ reads back empty; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 
 from netsieve.llm import textarrays as T
 from netsieve.llm.encoding import encoder
+from netsieve.llm.packing import file_system
 from netsieve.llm.storage import map_arrow, materialise, tasks
 from netsieve.session import scratch_path
 
@@ -64,11 +64,6 @@ def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=struct.calcsize(_HEAD))
 
 
-def _file_system(uri: str):
-    from pyarrow import fs
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", uri))
-
-
 def records(stream) -> tuple[int, bytes]:
     """(offset, payload) of every record of an open shard, checksums verified."""
     data, at, base = b"", 0, 0
@@ -96,7 +91,7 @@ def records(stream) -> tuple[int, bytes]:
 
 def record_at(uri: str, offset: int) -> tuple[int | None, np.ndarray]:
     """The record at an offset of the index."""
-    fs, path = _file_system(uri)
+    fs, path = file_system(uri)
     with fs.open_input_file(path) as f:
         f.seek(offset)
         size, crc = struct.unpack("<QI", f.read(12))
@@ -110,7 +105,7 @@ def record_at(uri: str, offset: int) -> tuple[int | None, np.ndarray]:
 
 def index_entries(uri: str) -> list[tuple[int, int, int]]:
     """(id, offset, tokens) of an index file."""
-    fs, path = _file_system(uri)
+    fs, path = file_system(uri)
     with fs.open_input_file(path) as f:
         return list(struct.iter_unpack(_INDEX, f.read()))
 
@@ -124,7 +119,7 @@ def _write_rows(folder: str, tokenizer: str, end_id: int):
             doc_ids = batch.column(0).to_pylist()
             for lo, t in T.slices(batch.column(1)):
                 if out is None:
-                    fs, path = _file_system(f"{folder}/part-{part:06d}-{ctx.taskAttemptId()}")
+                    fs, path = file_system(f"{folder}/part-{part:06d}-{ctx.taskAttemptId()}")
                     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     out, index = fs.open_output_stream(f"{path}.rec"), fs.open_output_stream(f"{path}.idx")
                 ids, count = enc.slice(t)
@@ -161,7 +156,7 @@ def _read_rows(batches):
     for batch in batches:
         for x in batch.to_pylist():
             start = x["base"]
-            fs, path = _file_system(x["path"])
+            fs, path = file_system(x["path"])
             rows = []
             with fs.open_input_stream(path) as stream:
                 for _, payload in records(stream):

@@ -81,3 +81,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netsieve.llm.op4_token_counts import token_counts
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op10_katz")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netsieve.llm.op10_katz import katz_scores
+    return katz_scores(table(spark, sf_dir, "documents"))
