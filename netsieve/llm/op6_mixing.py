@@ -62,6 +62,11 @@ def block_count(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> int:
     return max(16, -(-docs.count() // block_docs))
 
 
+def shard_count(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> int:
+    """Output shards: sixteen blocks each, at least SHARDS."""
+    return max(SHARDS, block_count(docs, block_docs) // 16)
+
+
 def targets(totals: DataFrame, weights=WEIGHTS, budget: float = BUDGET, limit: int = LIMIT) -> DataFrame:
     """Water filling over one row per source (mix_source, mix_null, source_size)."""
     every = Window.orderBy("mix_null", "mix_source")
@@ -196,13 +201,14 @@ def deal(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        shards: int = SHARDS, block_docs: int = BLOCK_DOCS, weights=WEIGHTS, budget: float = BUDGET,
+        shards: int | None = None, block_docs: int = BLOCK_DOCS, weights=WEIGHTS, budget: float = BUDGET,
         limit: int = LIMIT) -> DataFrame:
     """The mix: every taken copy of a row of ``docs``, with mix_shard, mix_copy and mix_order.
 
     To write shards: ``repartition("mix_shard").sortWithinPartitions("mix_order")``.
     """
     blocks = block_count(docs, block_docs)
+    shards = shards or shard_count(docs, block_docs)
     keyed = keyed_sizes(docs, id_col, text_col, source_col, blocks)
     plan = small_side(materialise(block_plan(keyed, shards, weights, budget, limit), "mix-plan"))
     return deal(docs.withColumns(_keys(docs, id_col, text_col, source_col, blocks)), plan)
@@ -211,8 +217,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words of all its copies in the mix)."""
-    keyed = keyed_sizes(docs, id_col, text_col, source_col, block_count(docs, options.pop("block_docs", BLOCK_DOCS)))
-    plan = materialise(block_plan(keyed, **options), "mix-plan")
+    block_docs = options.pop("block_docs", BLOCK_DOCS)
+    shards = options.pop("shards", None) or shard_count(docs, block_docs)
+    keyed = keyed_sizes(docs, id_col, text_col, source_col, block_count(docs, block_docs))
+    plan = materialise(block_plan(keyed, shards, **options), "mix-plan")
     taken = (deal(keyed.select("row", "size", "mix_source", "mix_null", "mix_block", "mix_key"), small_side(plan))
              .groupBy("row").agg(F.sum("size").alias("taken")))
     of = plan.select("mix_source", "mix_null", "source_size", "target").distinct()
