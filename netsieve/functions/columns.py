@@ -55,14 +55,10 @@ def columns_containing(columns, needle: str, limit: int | None = None,
     return out[:limit] if limit is not None else out
 
 
-# The feature groups the profile lists and how many it shows.
-FEATURE_GROUPS = [("Packet", 10), ("Flag", None), ("IAT", None)]
+# The feature groups the profile lists.
+FEATURE_GROUPS = ["Packet", "Flag", "IAT"]
 
 
-def feature_groups(columns) -> list[tuple[str, str]]:
-    """(group, feature) pairs for the packet, flag and timing groups."""
-    out = []
-    for group, limit in FEATURE_GROUPS:
-        for c in columns_containing(columns, group, limit):
-            out.append((group, c))
-    return out
+def feature_groups(columns, limit: int | None = None) -> list[tuple[str, str]]:
+    """(group, feature) pairs for the packet, flag and timing groups; ``limit`` shows only the first of each."""
+    return [(group, c) for group in FEATURE_GROUPS for c in columns_containing(columns, group, limit)]

@@ -13,9 +13,9 @@ DEFAULT_SEED = 42
 
 
 def hash_key(id_col, seed: int = DEFAULT_SEED) -> Column:
-    """Hex md5 of the id and seed; sorts uniformly at random."""
+    """Hex md5 of the id and seed; sorts uniformly at random.  A NULL id hashes as empty."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat(c.cast("string"), F.lit(f":{seed}")))
+    return F.md5(F.concat(F.coalesce(c.cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
 def hash_bucket(key: Column, hex_digits: int = 4) -> Column:

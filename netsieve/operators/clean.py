@@ -50,21 +50,20 @@ def fill_median(df: DataFrame, cols=None, fit_on: DataFrame | None = None,
 
     Medians are fitted on ``fit_on`` (default: ``df`` itself) with the bounded
     exact quantile operator and applied with one ``fillna``-style projection.
-    Integer columns become double (a median may be x.5).  Columns without a
-    missing value are left untouched, as are all-missing columns.
+    One counting pass finds the columns that miss a value at all: only those
+    are fitted, and only those become double (a median may be x.5).  Columns
+    without a gap keep their type and values, all-missing ones stay as they are.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     src = fit_on if fit_on is not None else df
-    meds = Q.medians(src, cols, **qkw)
     frac = set(fractional_columns(df))
-    exprs = {}
-    for c in cols:
-        if meds[c] is None:
-            continue
-        x = F.col(c).cast("double")
-        miss = x.isNull() | F.isnan(x) if c in frac else x.isNull()
-        exprs[c] = F.when(miss, F.lit(float(meds[c]))).otherwise(x)
-    return df.withColumns(exprs), meds
+
+    def miss(c):
+        return F.col(c).isNull() | F.isnan(c) if c in frac else F.col(c).isNull()
+    gaps = df.agg(*[F.count_if(miss(c)).alias(f"g{i}") for i, c in enumerate(cols)]).first() if cols else []
+    meds = Q.medians(src, [c for c, n in zip(cols, gaps) if n], **qkw)
+    return df.withColumns({c: F.when(miss(c), F.lit(float(m))).otherwise(F.col(c).cast("double"))
+                           for c, m in meds.items() if m is not None}), meds
 
 
 def fill_zero(df: DataFrame, cols=None) -> DataFrame:

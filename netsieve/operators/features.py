@@ -12,7 +12,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsieve.functions.joins import join_bounded
+from netsieve.functions.joins import small_side
 
 
 def label_index(df: DataFrame, label_col: str = "label", out_col: str = "label_idx",
@@ -74,11 +74,16 @@ def one_hot(df: DataFrame, cols, drop_first: bool = True, exclude=(),
     return df.withColumns(exprs).drop(*cols)
 
 
+def _number(c: str):
+    """The column as double; NaN is missing and takes no part in a fit."""
+    x = F.col(c).cast("double")
+    return F.when(F.isnan(x), F.lit(None)).otherwise(x)
+
+
 def fit_standard(fit_on: DataFrame, cols) -> dict[str, tuple[float, float]]:
     """(mean, population std) per column from one aggregation."""
     row = fit_on.agg(*[x for c in cols for x in (
-        F.avg(F.col(c).cast("double")).alias(f"m_{c}"),
-        F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}"))]).collect()[0]
+        F.avg(_number(c)).alias(f"m_{c}"), F.stddev_pop(_number(c)).alias(f"s_{c}"))]).collect()[0]
     return {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in cols}
 
 
@@ -96,8 +101,7 @@ def standard_scale(df: DataFrame, cols, fit_on: DataFrame | None = None,
 
 def fit_minmax(fit_on: DataFrame, cols) -> dict[str, tuple[float, float]]:
     row = fit_on.agg(*[x for c in cols for x in (
-        F.min(F.col(c).cast("double")).alias(f"lo_{c}"),
-        F.max(F.col(c).cast("double")).alias(f"hi_{c}"))]).collect()[0]
+        F.min(_number(c)).alias(f"lo_{c}"), F.max(_number(c)).alias(f"hi_{c}"))]).collect()[0]
     return {c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in cols}
 
 
@@ -141,5 +145,5 @@ def attach_class_weights(df: DataFrame, label_col: str = "label",
                          weight_col: str = "weight") -> DataFrame:
     """Per-row class weight.  The class table (one row per class) is
     broadcast after its size is checked; a hot class never meets a shuffle."""
-    w = class_weights(df, label_col).select(label_col, F.col("weight").alias(weight_col))
-    return join_bounded(df, w, label_col)
+    w = class_weights(df, label_col).select(F.col(label_col).alias("_l"), F.col("weight").alias(weight_col))
+    return df.join(small_side(w), F.col(label_col).eqNullSafe(F.col("_l"))).drop("_l")

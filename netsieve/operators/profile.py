@@ -40,9 +40,10 @@ def load_summary(df: DataFrame, file_col: str = "source_file") -> DataFrame:
 
 def value_ranges(df: DataFrame, cols) -> DataFrame:
     """A3: (feature, min_value, max_value) in one pass."""
-    aggs = []
+    aggs, frac = [], set(fractional_columns(df))
     for c in cols:
-        aggs += [F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
+        x = F.when(F.isnan(c), F.lit(None)).otherwise(F.col(c)) if c in frac else F.col(c)
+        aggs += [F.min(x).cast("double").alias(f"{c}__min"), F.max(x).cast("double").alias(f"{c}__max")]
     row = df.agg(*aggs)
     return row.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"{c}__min").alias("min_value"),
@@ -154,21 +155,20 @@ def describe(df: DataFrame, cols, digits: int = 6, accuracy: int = Q.ACCURACY,
              max_band_rows: int = Q.MAX_BAND_ROWS) -> DataFrame:
     """A10: count, mean, sample std, min, quartiles, max and std/(mean+1e-8) per feature.
 
-    One long (feature, value) table -- missing values (NULL/NaN) dropped -- is
-    persisted and feeds both the moments (a grouped aggregation, partial per
-    task) and the bounded exact quantile passes.
+    Moments come from one wide aggregation per group of columns, quartiles
+    from the bounded exact quantile passes; missing values (NULL/NaN) are left out.
     """
-    from pyspark import StorageLevel
-    cols = list(cols)
-    long = Q.long_values(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        v = F.col("v")
-        moments = {r["feature"]: r for r in long.groupBy("feature").agg(
-            F.count(F.lit(1)).alias("count"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")).collect()}
-        qs, _ = Q._quantiles(long, cols, [0.25, 0.5, 0.75], accuracy, max_band_rows)
-    finally:
-        long.unpersist()
+    cols, moments = list(cols), {}
+    for at in range(0, len(cols), Q.COLUMNS_PER_PASS):
+        part, aggs = cols[at:at + Q.COLUMNS_PER_PASS], []
+        for i, c in enumerate(part):
+            v = Q._value(df, c)
+            aggs += [F.count(v).alias(f"count{i}"), F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"),
+                     F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
+        row = df.agg(*aggs).first()
+        moments |= {c: {k: row[f"{k}{i}"] for k in ("count", "mean", "std", "min", "max")}
+                    for i, c in enumerate(part) if row[f"count{i}"]}
+    qs, _ = Q.quantiles(df, cols, [0.25, 0.5, 0.75], accuracy, max_band_rows)
     rows = []
     for c in cols:
         m = moments.get(c)
@@ -198,24 +198,50 @@ def _pair_corr(x: str, y: str):
     return F.expr(f"try_divide(covar_samp({xs}, {ys}), stddev_samp({xs}) * stddev_samp({ys}))")
 
 
+def _pair_sums(cols, means):
+    """Per task: the sums of every column pair over the rows where both are present, as matrix products."""
+    import numpy as np
+    import pyarrow as pa
+    d = len(cols)
+    upper = np.triu_indices(d, 1)
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def run(batches):
+        sums = np.zeros((6, d, d))
+        for batch in batches:
+            x = np.column_stack([np.asarray(batch.column(i).fill_null(np.nan)) for i in range(d)]) - means
+            m = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            sums += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(upper[0]), pa.array(upper[1]), *(pa.array(s[upper]) for s in sums)], names=["i", "j", *names])
+    return run
+
+
 def correlation_pairs(df: DataFrame, cols) -> DataFrame:
-    """(feature_a, feature_b, corr) for every unordered pair, one aggregation pass.
+    """(feature_a, feature_b, corr) for every unordered pair, pairwise-complete like pandas.
 
-    Each row emits one (pair, x, y) record per pair with both values present
-    (pairwise-complete, like pandas), and one grouped aggregation with three
-    moment functions -- partial per task, one row per pair -- yields every r.
-    Input must be NaN-free (NaN -> NULL); constant columns yield NULL.
+    One small pass gives the column means; then each task turns its batches
+    into column-by-column matrix products (six sums per pair) and one grouped
+    sum of those small matrices yields every r.  Work per row is a matrix
+    product, the shuffle holds one row per pair and task.  Missing values and
+    NaN are left out; constant columns yield NULL.
     """
-    pairs = list(combinations(cols, 2))
-    recs = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for a, b in pairs]))
-    long = df.select(recs.alias("r")).select("r.*") \
-             .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return long.groupBy("feature_a", "feature_b").agg(
-        F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
-        .alias("corr"))
+    import numpy as np
+    cols = list(cols)
+    values = df.select(*[Q._value(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
+    row = values.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(cols))]).first()
+    means = np.array([row[i] if row[i] is not None and np.isfinite(row[i]) else 0.0 for i in range(len(cols))])
+    sums = values.mapInArrow(_pair_sums(cols, means), "i long, j long, n double, sx double, sy double, "
+                                                      "sxx double, syy double, sxy double")
+    s = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
+    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    tiny = (vx <= F.col("sxx") * 1e-14) | (vy <= F.col("syy") * 1e-14)
+    name = lambda c: F.element_at(F.array(*[F.lit(x) for x in cols]), (F.col(c) + 1).cast("int"))
+    return s.select(name("i").alias("feature_a"), name("j").alias("feature_b"),
+                    F.when(tiny, F.lit(None)).otherwise(F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy))).alias("corr"))
 
 
 def high_corr_pairs(df: DataFrame, cols, lo: float = 0.95, hi: float = 1.0 - 1e-9,
@@ -250,10 +276,18 @@ def duplicate_columns(df: DataFrame, cols, order_col: str = "row_id") -> DataFra
     (xor of xxhash64(row key, value)); only columns with equal fingerprints are
     then verified exactly with a null-safe equality aggregate.
     """
+    frac, kinds = set(fractional_columns(df)), dict(df.dtypes)
+
     def val(c):
+        """Whole numbers compare exactly, as long; fractional ones as double, NaN as missing."""
+        if c not in frac and not kinds[c].startswith("decimal"):
+            return F.col(c).cast("long")
         x = F.col(c).cast("double")
         return F.when(F.isnan(x), F.lit(None)).otherwise(x + F.lit(0.0))
-    fp = df.agg(*[F.bit_xor(F.xxhash64(F.col(order_col), val(c))).alias(f"f{i}")
+
+    def same(a, b):
+        return val(a).eqNullSafe(val(b))
+    fp = df.agg(*[F.bit_xor(F.xxhash64(F.col(order_col), val(c).cast("double"))).alias(f"f{i}")
                   for i, c in enumerate(cols)]).collect()[0]
     groups: dict[int, list[str]] = {}
     for i, c in enumerate(cols):
@@ -262,7 +296,7 @@ def duplicate_columns(df: DataFrame, cols, order_col: str = "row_id") -> DataFra
     spark = df.sparkSession
     if not cands:
         return spark.createDataFrame([], "feature string, duplicate_of string")
-    row = df.agg(*[F.bool_and(val(a).eqNullSafe(val(b))).alias(f"p{i}")
+    row = df.agg(*[F.bool_and(same(a, b)).alias(f"p{i}")
                    for i, (a, b) in enumerate(cands)]).collect()[0]
     found = {}
     for i, (a, b) in enumerate(cands):
@@ -272,15 +306,16 @@ def duplicate_columns(df: DataFrame, cols, order_col: str = "row_id") -> DataFra
 
 
 def first_row_per_label(df: DataFrame, label_col: str, order_col: str, cols,
-                        n_labels: int = 5) -> DataFrame:
-    """The first row of each label, for the first ``n_labels`` labels in order.
+                        n_labels: int | None = None) -> DataFrame:
+    """The first row of each label, in order; ``n_labels`` optionally shows only the first ones.
 
-    ``min(struct(order, ...))`` per label is partial-aggregated, so a label
-    holding most rows never lands in one task.
+    The smallest order key per label is a primitive hash aggregate (partial per
+    task, no sort of the rows); one row per label then picks its columns up.
     """
-    first = df.groupBy(label_col).agg(F.min(F.struct(order_col, *cols)).alias("s"))
-    return (first.select(label_col, "s.*")
-            .orderBy(order_col).limit(n_labels))
+    first = df.groupBy(label_col).agg(F.min(order_col).alias(order_col),
+                                      *[F.min_by(c, order_col).alias(c) for c in cols])
+    out = first.select(label_col, order_col, *cols).orderBy(order_col)
+    return out.limit(n_labels) if n_labels is not None else out
 
 
 def preview(df: DataFrame, order_cols, n: int = 3) -> DataFrame:

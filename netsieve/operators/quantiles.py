@@ -3,171 +3,174 @@
 Spark's exact ``percentile``/``median`` aggregates keep every distinct value
 of a group in one aggregation buffer, which does not survive a 100 TB column.
 Here each wanted order statistic (the k-th smallest value of a column) is
-found in passes whose per-task state is bounded:
-
-1. a ``percentile_approx`` sketch (mergeable, partial-aggregated per task)
-   brackets rank k with a value band [lo, hi] inside the current window;
-2. one conditional aggregation counts the window rows below ``lo`` and
-   inside the band;
-3. a band of at most ``max_band_rows`` rows is ranked with a window function
-   partitioned by target; a larger band (or a missed bracket) becomes the new
-   window and the loop repeats.
-
-All statistics are a handful of rows per column; no values reach the driver
-apart from the answers.  Quantiles interpolate linearly between the two
-nearest ranks, as pandas ``median``/``describe`` and SQL ``quantile_cont``.
+found by passes of plain aggregates over the columns themselves:
+
+1. a ``percentile_approx`` sketch brackets rank k with two values lo <= hi
+   taken from the current window;
+2. counts of the values below lo, equal to lo, between, and equal to hi say
+   whether lo or hi *is* the answer; else the open interval the rank falls
+   into becomes the next window;
+3. a window of at most ``max_band_rows`` rows is reduced to distinct values
+   with counts, and a running sum over those finds the rank.
+
+Every round excludes at least the value lo, and normally all but about
+4/accuracy of the rows, so the loop always ends; a repeated value (zero-heavy
+or constant columns) is answered by the counts, never ranked.  Columns are
+aggregated in groups, so no pass is wider than the group and each scan reads
+only the group's columns.  Only answers reach the driver.  Quantiles
+interpolate linearly between the two nearest ranks, as pandas
+``median``/``describe`` and SQL ``quantile_cont``.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-MAX_BAND_ROWS = 2_000_000
-
-
-def long_values(df: DataFrame, cols) -> DataFrame:
-    """(feature, v) for every non-missing value of ``cols`` (NaN counts as missing)."""
-    cast = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    long = cast.unpivot([], list(cols), "feature", "v")
-    return long.where(F.col("v").isNotNull() & ~F.isnan("v"))
-
-
-def order_statistics(long: DataFrame, targets, counts: dict[str, int],
-                     accuracy: int = ACCURACY, max_band_rows: int = MAX_BAND_ROWS,
-                     first_bands: dict | None = None) -> dict[tuple[str, int], float]:
-    """Exact k-th smallest value (0-based) of each (feature, k) in ``targets``.
-
-    ``counts`` holds the number of non-missing values per feature;
-    ``first_bands`` optionally gives an initial (lo, hi) bracket per target
-    (from a sketch computed together with the counts), saving one pass.
+MAX_BAND_ROWS = 200_000
+COLUMNS_PER_PASS = 12
+
+
+def _value(df: DataFrame, c: str):
+    """The column as double, NaN as NULL."""
+    x = F.col(f"`{c}`").cast("double")
+    return F.when(F.isnan(x), F.lit(None)).otherwise(x)
+
+
+def _inside(v, window):
+    lo, hi = window
+    cond = v.isNotNull()
+    if lo is not None:
+        cond = cond & (v > F.lit(lo))
+    if hi is not None:
+        cond = cond & (v < F.lit(hi))
+    return cond
+
+
+def _finish(df: DataFrame, state: dict, targets: list) -> dict:
+    """Rank the small windows: distinct values with counts, then a running sum per target."""
+    rows = F.array(*[F.when(_inside(_value(df, t[0]), state[t][0]),
+                            F.struct(F.lit(i).alias("t"), _value(df, t[0]).alias("v")))
+                     for i, t in enumerate(targets)])
+    counted = (df.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("s"))
+               .groupBy("s.t", "s.v").agg(F.count(F.lit(1)).alias("n")))
+    want = F.element_at(F.array(*[F.lit(state[t][1]) for t in targets]), F.col("t") + 1)
+    upto = F.sum("n").over(Window.partitionBy("t").orderBy("v"))
+    hit = (counted.withColumn("u", upto).where((F.col("u") > want) & (F.col("u") - F.col("n") <= want))
+           .select("t", "v").collect())
+    return {targets[r["t"]]: r["v"] for r in hit}
+
+
+def order_statistics(df: DataFrame, targets, counts: dict[str, int], accuracy: int = ACCURACY,
+                     max_band_rows: int = MAX_BAND_ROWS, brackets: dict | None = None) -> dict:
+    """Exact k-th smallest value (0-based) of each (column, k) in ``targets``.
+
+    ``counts`` holds the non-missing values per column; ``brackets`` optionally
+    gives a first (lo, hi) per target, saving one sketch pass.
     """
-    spark = long.sparkSession
-    v, feat = F.col("v"), F.col("feature")
-    # target -> [window lo, window hi, rank within window, rows in window]
-    state = {t: [-math.inf, math.inf, t[1], counts[t[0]]] for t in set(targets)}
-    given = dict(first_bands or {})
-    result: dict[tuple[str, int], float] = {}
+    # target -> [open window (lo, hi), rank inside it, rows inside it]
+    state = {t: [(None, None), t[1], counts[t[0]]] for t in set(targets)}
+    given, found = dict(brackets or {}), {}
     while state:
+        small = sorted(t for t in state if state[t][2] <= max_band_rows and t not in given)
+        if small:
+            found |= _finish(df, state, small)
+            for t in small:
+                del state[t]
+            continue
         keys = sorted(state)
         bands = {t: given.pop(t) for t in keys if t in given}
         todo = [t for t in keys if t not in bands]
         if todo:
-            # One sketch per target over its current window.
-            probs, sk = {}, []
-            for i, t in enumerate(todo):
-                wlo, whi, r, n = state[t]
-                p = r / max(n - 1, 1)
-                d = 4.0 / accuracy
-                probs[t] = (max(0.0, p - d), min(1.0, p + d))
-                in_win = (feat == t[0]) & (v >= wlo) & (v <= whi)
-                sk.append(F.percentile_approx(F.when(in_win, v),
-                                              F.array(F.lit(probs[t][0]), F.lit(probs[t][1])),
-                                              accuracy).alias(f"s{i}"))
-            srow = long.agg(*sk).collect()[0]
+            aggs = []
             for i, t in enumerate(todo):
-                wlo, whi, _, _ = state[t]
-                lo, hi = srow[f"s{i}"]
-                lo = wlo if probs[t][0] <= 0.0 else max(lo, wlo)
-                hi = whi if probs[t][1] >= 1.0 else min(hi, whi)
-                bands[t] = (lo, hi)
-        # Rows below and inside each band, within the window: the band table (one row per
-        # target, a bounded broadcast) joins the values of its feature, then one small
-        # grouped aggregation (partial per task) counts per target.
-        bt = spark.createDataFrame(
-            [(t[0], t[1], float(state[t][0]), float(bands[t][0]), float(bands[t][1]))
-             for t in keys], "feature string, k long, wlo double, lo double, hi double")
-        counted = (long.join(F.broadcast(bt), "feature")
-                   .groupBy("feature", "k")
-                   .agg(F.count_if((v >= F.col("wlo")) & (v < F.col("lo"))).alias("below"),
-                        F.count_if((v >= F.col("lo")) & (v <= F.col("hi"))).alias("inside"))
-                   .collect())
-        crow = {(r["feature"], r["k"]): (r["below"], r["inside"]) for r in counted}
-        finish = []
-        nxt = {}
+                window, r, n = state[t]
+                p, d = r / max(n - 1, 1), 4.0 / accuracy
+                v = _value(df, t[0])
+                aggs.append(F.percentile_approx(F.when(_inside(v, window), v), F.array(
+                    F.lit(max(0.0, p - d)), F.lit(min(1.0, p + d))), accuracy).alias(f"s{i}"))
+            row = df.agg(*aggs).first()
+            bands |= {t: tuple(row[f"s{i}"]) for i, t in enumerate(todo)}
+        # Neighbouring ranks of a column share their window and band: count each once.
+        kinds = sorted({(t[0], state[t][0], bands[t]) for t in keys}, key=repr)
+        aggs = []
+        for i, (c, window, (lo, hi)) in enumerate(kinds):
+            v = _value(df, c)
+            inside = _inside(v, window)
+            aggs += [F.count_if(inside & (v < lo)).alias(f"b{i}"), F.count_if(v == lo).alias(f"l{i}"),
+                     F.count_if((v > lo) & (v < hi)).alias(f"m{i}"), F.count_if(v == hi).alias(f"h{i}")]
+        row = df.agg(*aggs).first()
         for t in keys:
-            wlo, whi, r, n = state[t]
+            window, r, n = state[t]
             lo, hi = bands[t]
-            below, inside = crow.get(t, (0, 0))
-            if below <= r < below + inside:
-                if inside <= max_band_rows:
-                    finish.append((t[0], t[1], float(lo), float(hi), r - below))
-                else:
-                    nxt[t] = [lo, hi, r - below, inside]
-            elif r < below:  # bracket missed low: keep the part of the window under it
-                nxt[t] = [wlo, math.nextafter(lo, -math.inf), r, below]
+            i = kinds.index((t[0], window, (lo, hi)))
+            below, at_lo, mid = row[f"b{i}"], row[f"l{i}"], row[f"m{i}"]
+            at_hi = row[f"h{i}"] if hi != lo else 0
+            if r < below:
+                state[t] = [(window[0], lo), r, below]
+            elif r < below + at_lo:
+                found[t] = lo
+            elif r < below + at_lo + mid:
+                state[t] = [(lo, hi), r - below - at_lo, mid]
+            elif r < below + at_lo + mid + at_hi:
+                found[t] = hi
             else:
-                nxt[t] = [math.nextafter(hi, math.inf), whi, r - below - inside,
-                          n - below - inside]
-        if finish:
-            fin = spark.createDataFrame(
-                finish, "feature string, k long, lo double, hi double, pos long")
-            w = Window.partitionBy("feature", "k").orderBy("v")
-            # The finishing bands are one row per target: a bounded broadcast.
-            picked = (long.join(F.broadcast(fin), "feature")
-                      .where((v >= F.col("lo")) & (v <= F.col("hi")))
-                      .withColumn("rn", F.row_number().over(w) - 1)
-                      .where(F.col("rn") == F.col("pos"))
-                      .select("feature", "k", "v").collect())
-            for row in picked:
-                result[(row["feature"], row["k"])] = row["v"]
-        state = nxt
-    return result
+                state[t] = [(hi, window[1]), r - below - at_lo - mid - at_hi, n - below - at_lo - mid - at_hi]
+            if t in found:
+                del state[t]
+    return found
 
 
 def quantiles(df: DataFrame, cols, probs, accuracy: int = ACCURACY,
               max_band_rows: int = MAX_BAND_ROWS):
     """Exact linear-interpolation quantiles: ({col: {p: value}}, {col: count})."""
-    cols = list(cols)
-    # The long table feeds several passes: keep it (spillable) instead of recomputing.
-    long = long_values(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _quantiles(long, cols, probs, accuracy, max_band_rows)
-    finally:
-        long.unpersist()
+    cols, out, counts = list(cols), {}, {}
+    for at in range(0, len(cols), COLUMNS_PER_PASS):
+        part = cols[at:at + COLUMNS_PER_PASS]
+        q, n = _quantiles(df.select(*[F.col(f"`{c}`") for c in part]), part, probs, accuracy, max_band_rows)
+        out |= q
+        counts |= n
+    return out, counts
 
 
-def _quantiles(long, cols, probs, accuracy, max_band_rows):
+def _quantiles(df, cols, probs, accuracy, max_band_rows):
     d = 4.0 / accuracy
     ps = sorted({x for q in probs for x in (max(0.0, q - d), min(1.0, q + d))})
-    # Pass 1: count and sketch per column together (a grouped, partial aggregation).
-    first = {r["feature"]: r for r in long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", F.array(*[F.lit(p) for p in ps]), accuracy).alias("q")).collect()}
-    counts = {c: (first[c]["n"] if c in first else 0) for c in cols}
-    targets, plan, bands = set(), {}, {}
-    for c in cols:
+    aggs = []
+    for i, c in enumerate(cols):
+        v = _value(df, c)
+        aggs += [F.count(v).alias(f"n{i}"),
+                 F.percentile_approx(v, F.array(*[F.lit(p) for p in ps]), accuracy).alias(f"q{i}")]
+    row = df.agg(*aggs).first()
+    counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+    targets, plan, brackets = set(), {}, {}
+    for i, c in enumerate(cols):
         n = counts[c]
         if n == 0:
             continue
-        sketch = dict(zip(ps, first[c]["q"]))
+        sketch = dict(zip(ps, row[f"q{i}"]))
         for q in probs:
             pos = q * (n - 1)
             k0 = math.floor(pos)
             k1 = min(k0 + 1, n - 1)
             plan[(c, q)] = (k0, k1, pos - k0)
-            lo_p, hi_p = max(0.0, q - d), min(1.0, q + d)
-            lo = -math.inf if lo_p <= 0.0 else sketch[lo_p]
-            hi = math.inf if hi_p >= 1.0 else sketch[hi_p]
             for k in (k0, k1):
                 targets.add((c, k))
-                old = bands.get((c, k))
-                bands[(c, k)] = (lo, hi) if old is None else (min(old[0], lo), max(old[1], hi))
-    stats = order_statistics(long, targets, counts, accuracy, max_band_rows,
-                             bands) if targets else {}
-    out = {c: {} for c in cols}
+                brackets.setdefault((c, k), (sketch[max(0.0, q - d)], sketch[min(1.0, q + d)]))
+    stats = order_statistics(df, targets, counts, accuracy, max_band_rows, brackets) if targets else {}
+    out = {}
     for c in cols:
+        out[c] = {}
         for q in probs:
             if (c, q) not in plan:
                 out[c][q] = None
                 continue
             k0, k1, frac = plan[(c, q)]
             a, b = stats[(c, k0)], stats[(c, k1)]
-            out[c][q] = a + (b - a) * frac
+            out[c][q] = a if a == b else a + (b - a) * frac
     return out, counts
 
 

@@ -10,9 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsieve.functions.joins import join_bounded
+from netsieve.functions.joins import small_side
 from netsieve.functions.hashing import DEFAULT_SEED, hash_key, hash_uniform
-from netsieve.operators.ranking import RANK, SIZE, ceil_frac, floor_frac, hash_rank, round_frac
+from netsieve.operators.ranking import (RANK, SIZE, ceil_frac, cut_keys, floor_frac, hash_rank, round_frac,
+                                         with_cuts)
+
+
+#: Copies of one row that one task makes.
+COPY_RUN = 100_000
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, cuts=(("test", 0.2),),
@@ -24,16 +29,19 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, cuts=(("test",
     ``(("holdout", .1), ("test", .2))`` takes ceil(10 %) of every class for
     holdout, then ceil(20 %) of the remainder for test, the rest is ``rest``.
     """
-    ranked = hash_rank(df, id_col, [label_col], seed)
-    expr = None
-    taken = F.lit(0).cast("bigint")
-    for name, frac in cuts:
-        size = ceil_frac(F.col(SIZE) - taken, frac)
-        upper = taken + size
-        cond = F.col(RANK) < upper
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-        taken = upper
-    return ranked.withColumn(split_col, expr.otherwise(F.lit(rest))).drop(RANK, SIZE)
+    def upper(i):
+        """Rows up to and including the i-th cut, as a function of the class size."""
+        def rows(n):
+            taken = F.lit(0).cast("bigint")
+            for _, frac in cuts[:i + 1]:
+                taken = taken + ceil_frac(n - taken, frac)
+            return taken
+        return rows
+    t = with_cuts(df, id_col, {str(i): upper(i) for i in range(len(cuts))}, [label_col], seed)
+    expr = F.lit(rest)
+    for i, (name, _) in reversed(list(enumerate(cuts))):
+        expr = F.when(F.col(f"_below_{i}"), F.lit(name)).otherwise(expr)
+    return t.withColumn(split_col, expr).drop(*[f"_below_{i}" for i in range(len(cuts))])
 
 
 def kfold(df: DataFrame, label_col: str, id_col: str, k: int = 3,
@@ -47,9 +55,8 @@ def random_split(df: DataFrame, id_col: str, frac: float = 0.1, name: str = "val
                  rest: str = "train", seed: int = DEFAULT_SEED,
                  split_col: str = "split") -> DataFrame:
     """M4: unstratified; the first int(n * frac) rows in hash order form ``name``."""
-    ranked = hash_rank(df, id_col, [], seed)
-    return (ranked.withColumn(split_col, F.when(F.col(RANK) < floor_frac(SIZE, frac), F.lit(name))
-                              .otherwise(F.lit(rest))).drop(RANK, SIZE))
+    t = with_cuts(df, id_col, {"0": lambda n: floor_frac(n, frac)}, (), seed)
+    return t.withColumn(split_col, F.when(F.col("_below_0"), F.lit(name)).otherwise(F.lit(rest))).drop("_below_0")
 
 
 def group_split(df: DataFrame, group_col: str, frac: float = 0.2, name: str = "test",
@@ -57,12 +64,11 @@ def group_split(df: DataFrame, group_col: str, frac: float = 0.2, name: str = "t
                 split_col: str = "split") -> DataFrame:
     """M5 + J2: ceil(frac) of the distinct groups go to ``name``; groups never straddle."""
     groups = df.select(group_col).distinct()
-    ranked = hash_rank(groups, group_col, [], seed)
-    tagged = ranked.select(group_col, F.when(F.col(RANK) < ceil_frac(SIZE, frac), F.lit(name))
-                           .otherwise(F.lit(rest)).alias(split_col))
-    # One row per group: broadcast when the group count is bounded, else a salted join
-    # (a single group may hold a large share of the rows).
-    return join_bounded(df, tagged, group_col)
+    cut = cut_keys(groups, group_col, {"0": lambda n: ceil_frac(n, frac)}, (), seed).first()
+    # One key decides for every group, so the split is a projection over the rows (no join).
+    key = cut["_cut_0"] if cut else None
+    inside = F.lit(True) if key is None else hash_key(group_col, seed) < F.lit(key)
+    return df.withColumn(split_col, F.when(inside, F.lit(name)).otherwise(F.lit(rest)))
 
 
 def rows_in_groups(df: DataFrame, groups: DataFrame, group_col: str,
@@ -79,24 +85,17 @@ def split_by_values(df: DataFrame, col: str, train_values, train: str = "train",
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
-    """M8: min(n, rows) rows without replacement (the first n in hash order).
-
-    A count first: when the table already fits, it is returned as is (the
-    same rows the ranking would keep) without the ranking shuffle.
-    """
-    if df.count() <= n:
-        return df
-    ranked = hash_rank(df, id_col, [], seed)
-    return ranked.where(F.col(RANK) < F.lit(n)).drop(RANK, SIZE)
+    """M8: min(n, rows) rows without replacement (the first n in hash order)."""
+    return with_cuts(df, id_col, {"0": lambda size: F.least(size, F.lit(n))}, (), seed) \
+        .where("_below_0").drop("_below_0")
 
 
 def downsample_class(df: DataFrame, label_col: str, id_col: str, cls: str, frac: float,
                      seed: int = DEFAULT_SEED) -> DataFrame:
     """M9 + U3: keep round(frac * n) rows of ``cls`` (hash order) and every other row."""
     is_cls = F.coalesce(F.col(label_col) == F.lit(cls), F.lit(False))
-    major = hash_rank(df.where(is_cls), id_col, [], seed)
-    kept = major.where(F.col(RANK) < round_frac(SIZE, frac)).drop(RANK, SIZE)
-    return kept.unionByName(df.where(~is_cls))
+    major = with_cuts(df.where(is_cls), id_col, {"0": lambda n: round_frac(n, frac)}, (), seed)
+    return major.where("_below_0").drop("_below_0").unionByName(df.where(~is_cls))
 
 
 def oversample_balanced(df: DataFrame, label_col: str, id_col: str,
@@ -109,14 +108,21 @@ def oversample_balanced(df: DataFrame, label_col: str, id_col: str,
     no driver loop, and the expected total stays n.
     """
     from netsieve.operators.features import class_weights
-    w = class_weights(df, label_col).select(label_col, "weight")
+    w = class_weights(df, label_col).select(F.col(label_col).alias("_l"), "weight")
     u = hash_uniform(hash_key(id_col, seed))
     base = F.floor("weight")
-    copies = (base + F.when(u < F.col("weight") - base, 1).otherwise(0)).cast("int")
-    with_w = join_bounded(df, w, label_col)
-    return (with_w.withColumn("_copies", copies).where(F.col("_copies") > 0)
-            .withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .drop("_copies", "weight"))
+    copies = (base + F.when(u < F.col("weight") - base, 1).otherwise(0)).cast("bigint")
+    with_w = df.join(small_side(w), F.col(label_col).eqNullSafe(F.col("_l"))).drop("_l")
+    # A rare row may get very many copies: runs of at most COPY_RUN are made first and dealt out,
+    # then each run is expanded in its own task.
+    runs = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("_copies") / COPY_RUN) - 1)
+    dealt = (with_w.withColumn("_copies", copies).where(F.col("_copies") > 0).drop("weight")
+             .withColumn("_run", F.explode(runs)))
+    if (df.count() // max(w.count(), 1)) > COPY_RUN:
+        dealt = dealt.repartition(id_col, "_run")
+    first = F.col("_run") * COPY_RUN + 1
+    return (dealt.withColumn(copy_col, F.explode(F.sequence(first, F.least(F.col("_copies"), first + (COPY_RUN - 1)))))
+            .withColumn(copy_col, F.col(copy_col).cast("int")).drop("_copies", "_run"))
 
 
 def split_class_counts(df: DataFrame, label_col: str, split_col: str,
@@ -128,5 +134,12 @@ def split_class_counts(df: DataFrame, label_col: str, split_col: str,
 
 
 def labels_missing(train: DataFrame, other: DataFrame, label_col: str) -> DataFrame:
-    """Labels present in ``train`` but absent from ``other``."""
-    return train.select(label_col).distinct().join(other.select(label_col), label_col, "left_anti")
+    """Labels present in ``train`` but absent from ``other`` (NULL is a label).
+
+    Both sides are reduced to their distinct labels first, so the join is of one row per label.
+    """
+    mark = F.max(F.when(F.col("_in"), 1).otherwise(0))
+    both = (train.select(label_col).distinct().withColumn("_in", F.lit(False))
+            .unionByName(other.select(label_col).distinct().withColumn("_in", F.lit(True))))
+    return both.groupBy(label_col).agg(mark.alias("_m"), F.count_if(~F.col("_in")).alias("_t")) \
+        .where("_m = 0 and _t > 0").select(label_col)

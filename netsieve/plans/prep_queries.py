@@ -14,11 +14,11 @@ from netsieve.plans.registry import register
 from netsieve.plans.sql import (FLOWS_CTE, class_rank, class_size, clean_cte, group_split_cte,
                                 median_fill_cte, r6, strat_split_cte, with_ctes)
 from netsieve.sources.flows import FEATURES, flows
-from netsieve.sources.sinks import materialize
 
+# The days whose flows train, and every day name.
 TRAIN_DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday"]
 WEEKDAYS = ["Friday", "Monday", "Saturday", "Sunday", "Thursday", "Tuesday", "Wednesday"]
-CORR_SAMPLE = 50_000
+SAMPLE_ROWS = 5_000
 
 
 def _clean_abs(spark, sf_dir):
@@ -34,8 +34,7 @@ def stratified(spark, sf_dir):
 
 def prepared(spark, sf_dir):
     """Cleaned flows with the stratified split and train-fitted median fill."""
-    df = _clean_abs(spark, sf_dir).join(stratified(spark, sf_dir).drop("label"), "row_id")
-    df = materialize(df, "prepared-split", partition_by=("split",))
+    df = S.stratified_split(_clean_abs(spark, sf_dir), "label", "row_id")
     out, _ = C.fill_median(df, FEATURES, fit_on=df.where(F.col("split") == "train"))
     return out
 
@@ -128,9 +127,9 @@ def downsample_majority(spark, sf_dir):
 
 @register("sample_n", with_ctes(FLOWS_CTE) + f"""
 SELECT row_id, label FROM (SELECT row_id, label, {class_rank('row_id', None)} AS rk FROM flows) r
-WHERE rk < {CORR_SAMPLE}""")
+WHERE rk < {SAMPLE_ROWS}""")
 def sample_n(spark, sf_dir):
-    return S.sample_n(flows(spark, sf_dir).select("row_id", "label"), "row_id", CORR_SAMPLE)
+    return S.sample_n(flows(spark, sf_dir).select("row_id", "label"), "row_id", SAMPLE_ROWS)
 
 
 @register("oversample_balanced", with_ctes(
@@ -155,7 +154,7 @@ UNION ALL
 SELECT f.row_id, f.label, s.split, f.flow_duration, NULL AS total_fwd_packets, NULL AS day
 FROM flows f JOIN s USING (row_id) WHERE s.split = 'test'""")
 def union_by_name(spark, sf_dir):
-    f = flows(spark, sf_dir).join(stratified(spark, sf_dir).drop("label"), "row_id")
+    f = S.stratified_split(flows(spark, sf_dir), "label", "row_id")
     train = f.where(F.col("split") == "train").select(
         "row_id", "label", "split", "flow_duration", "total_fwd_packets", "day")
     test = f.where(F.col("split") == "test").select("flow_duration", "split", "label", "row_id")
@@ -186,7 +185,7 @@ def clean_zero_clip(spark, sf_dir):
               f"GROUP BY split" for c in FEATURES) + ") t WHERE missing_pct > 0")
 def missing_pct_by_split(spark, sf_dir):
     df = C.normalize_missing(flows(spark, sf_dir), inf_to_null=True)
-    df = df.join(stratified(spark, sf_dir).drop("label"), "row_id")
+    df = S.stratified_split(df, "label", "row_id")
     return P.missing_pct_by_group(df, "split", FEATURES)
 
 
@@ -234,7 +233,6 @@ def minmax_scale(spark, sf_dir):
     base = _clean_abs(spark, sf_dir)
     g = S.group_split(base.withColumn("sequence_id", F.floor(F.col("row_id") / 10).cast("bigint")),
                       "sequence_id")
-    g = materialize(g, "group-split", partition_by=("split",))
     filled, _ = C.fill_median(g, FEATURES, fit_on=g.where(F.col("split") == "train"))
     out, _ = X.minmax_scale(filled, FEATURES, fit_on=filled.where(F.col("split") == "train"))
     return out.select("row_id", "split", *_feat_r6(out))
@@ -242,17 +240,15 @@ def minmax_scale(spark, sf_dir):
 
 @register("target_corr_top", with_ctes(
     *PREP_CTES,
-    f"smp AS (SELECT * FROM (SELECT *, {class_rank('row_id', None)} AS rk FROM prep) t "
-    f"WHERE rk < {CORR_SAMPLE})",
-    "y AS (SELECT smp.*, CAST(dense_rank() OVER (ORDER BY f.label) - 1 AS DOUBLE) AS y "
-    "FROM smp JOIN flows f USING (row_id))",
+    "y AS (SELECT p.*, CAST(dense_rank() OVER (ORDER BY f.label) - 1 AS DOUBLE) AS y "
+    "FROM prep p JOIN flows f USING (row_id) WHERE p.split = 'train')",
     "c AS (" + "\nUNION ALL\n".join(
         f"SELECT '{c}' AS feature, abs(corr({c}, y)) AS r FROM y" for c in FEATURES) + ")")
     + f"""
 SELECT feature, {r6('r')} AS abs_corr FROM c WHERE r IS NOT NULL AND NOT isnan(r)
 ORDER BY r DESC, feature LIMIT 20""")
 def target_corr_top(spark, sf_dir):
-    df = S.sample_n(prepared(spark, sf_dir), "row_id", CORR_SAMPLE)
+    df = prepared(spark, sf_dir).where(F.col("split") == "train")
     df, dropped = P.drop_zero_variance(df, FEATURES)
     df, _ = X.label_index(df, "label", "y")
     keep = [c for c in FEATURES if c not in dropped]
@@ -306,7 +302,7 @@ def fold_label_names(spark, sf_dir):
 
 # ---- CSV round trip ---------------------------------------------------------------------
 
-# Dirty header names as written to the CSV files (leading/trailing spaces on purpose).
+# Dirty header names as written to the CSV files (leading/trailing spaces on purpose).
 DIRTY = {"row_id": " Flow ID", "src_ip": " Source IP", "label": " Label ",
          "flow_duration": " Flow Duration", "total_fwd_packets": " Total Fwd Packets",
          "total_bwd_packets": " Total Backward Packets", "destination_port": " Destination Port",

@@ -142,9 +142,9 @@ def duplicate_columns(spark, sf_dir):
 @register("first_row_per_label", with_ctes(FLOWS_CTE) + f"""
 SELECT label, row_id, {', '.join(KEY_STAT_COLUMNS)} FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_id) AS rn FROM flows) t
-WHERE rn = 1 ORDER BY row_id LIMIT 5""")
+WHERE rn = 1""")
 def first_row_per_label(spark, sf_dir):
-    return P.first_row_per_label(flows(spark, sf_dir), "label", "row_id", KEY_STAT_COLUMNS, 5)
+    return P.first_row_per_label(flows(spark, sf_dir), "label", "row_id", KEY_STAT_COLUMNS)
 
 
 def _groups_sql() -> str:

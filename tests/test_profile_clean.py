@@ -122,3 +122,28 @@ def test_distinct_counts_approximate_path(spark):
     exact = P.distinct_counts(df, ["x"]).first()["n_distinct"]
     approx = P.distinct_counts(df, ["x"], exact=False).first()["n_distinct"]
     assert exact == 1000 and abs(approx - 1000) <= 150  # 3 x the default 5 % rsd
+
+
+def test_quantiles_end_on_ties_and_constants(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = [(0.0 if i % 10 else float(rng.integers(1, 50)), 7, float(i % 2), int(2 ** 53 + 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "z double, c int, two double, big bigint")
+    probs = [0.1, 0.25, 0.5, 0.9, 0.99]
+    got, n = Q.quantiles(df, ["z", "c", "two"], probs, accuracy=50, max_band_rows=5)
+    for i, c in enumerate(["z", "c", "two"]):
+        xs = np.array([r[i] for r in rows], float)
+        for p in probs:
+            assert math.isclose(got[c][p], float(np.quantile(xs, p)), abs_tol=1e-9), (c, p)
+    out, meds = C.fill_median(df)
+    assert meds == {} and dict(out.dtypes)["big"] == "bigint" and out.first()["big"] == 2 ** 53 + 1
+
+
+def test_duplicate_columns_compare_whole_numbers_exactly(spark):
+    df = spark.createDataFrame([(1, 2 ** 53, 2 ** 53 + 1, 5), (2, 3, 3, 5)], "row_id long, a long, b long, c long")
+    assert P.duplicate_columns(df, ["a", "b", "c"]).count() == 0
+
+
+def test_value_ranges_skip_nan(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,)], "x double")
+    assert P.value_ranges(df, ["x"]).first()["max_value"] == 3.0

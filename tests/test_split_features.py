@@ -132,3 +132,47 @@ def test_join_bounded_salted_path_equals_plain_join(spark):
     assert plain == salted
     bc = sorted(tuple(r) for r in join_bounded(big, small, "k").select("k", "id", "v").collect())
     assert plain == bc
+
+
+def test_splits_keep_rows_with_null_ids_groups_and_labels(spark):
+    from netsieve.operators import features as X
+    df = spark.createDataFrame([(1, "a", "g1"), (2, None, None), (None, "b", "g2"), (4, None, "g1"), (5, "a", None)],
+                               "row_id long, label string, grp string")
+    assert S.stratified_split(df, "label", "row_id").count() == 5
+    assert S.random_split(df, "row_id", 0.5).count() == 5
+    assert S.group_split(df, "grp", 0.5).count() == 5
+    assert X.attach_class_weights(df, "label").count() == 5
+    assert S.oversample_balanced(df, "label", "row_id").where("label is null").count() > 0
+
+
+def test_sample_is_a_prefix_of_hash_order_at_any_prefix_length(spark, monkeypatch):
+    from netsieve.functions.hashing import hash_key
+    from netsieve.operators import ranking
+    df = spark.range(1000).withColumnRenamed("id", "row_id")
+    want = {r.row_id for r in df.orderBy(hash_key("row_id"), "row_id").limit(300).collect()}
+    assert {r.row_id for r in S.sample_n(df, "row_id", 300).collect()} == want
+    monkeypatch.setattr(ranking, "PREFIX_DIGITS", 1)
+    monkeypatch.setattr(ranking, "FINISH_ROWS", 3)  # several refinements of the crossing bucket
+    assert {r.row_id for r in S.sample_n(df, "row_id", 300).collect()} == want
+    assert S.sample_n(df, "row_id", 5000).count() == 1000 and S.sample_n(df, "row_id", 0).count() == 0
+
+
+def test_oversampling_spreads_the_copies_of_a_rare_row(spark, monkeypatch):
+    monkeypatch.setattr(S, "COPY_RUN", 50)
+    df = spark.range(1001).selectExpr("id as row_id", "if(id = 0, 'rare', 'common') as label")
+    out = S.oversample_balanced(df, "label", "row_id")
+    rare = out.where("label = 'rare'")
+    assert rare.count() in (500, 501) and rare.select("copy").distinct().count() == rare.count()
+
+
+def test_labels_missing_finds_absent_classes_and_null(spark):
+    train = spark.createDataFrame([("a",), ("b",), (None,)], "label string")
+    other = spark.createDataFrame([("a",), ("a",)], "label string")
+    assert {r.label for r in S.labels_missing(train, other, "label").collect()} == {"b", None}
+
+
+def test_join_beyond_the_bound_works_with_map_columns_and_equal_rows(spark):
+    from netsieve.functions.joins import join_bounded
+    big = spark.createDataFrame([(1, {"x": 1})] * 40 + [(2, {"y": 2})], "k int, m map<string,int>")
+    small = spark.createDataFrame([(1, "one"), (2, "two")], "k int, v string")
+    assert join_bounded(big, small, "k", max_rows=0, salt=4).count() == 41
