@@ -1,6 +1,6 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms of a text are its runs of letters and the byte 5-grams inside them
+Terms of a text are its runs of letters and the byte 4-grams inside them
 (insults also occur as parts of compounds), each hashed to 32 bits.  Counts over a bounded sample of labelled
 rows pick the ``ACTIVE`` terms that depend most on the label; the machine
 
@@ -27,9 +27,11 @@ from netsieve.llm import textarrays as T
 from netsieve.llm.labelled import SAMPLE_ROWS, held_out, labelled_sample
 from netsieve.llm.storage import map_arrow, materialise
 
-ACTIVE, FACTORS, GRAM = 4096, 8, 5
-MIN_TEXTS = 8
-EPOCHS, BATCH, RATE, RIDGE, SEED = 25, 256, 0.05, 1e-4, 17
+ACTIVE, FACTORS, GRAM = 2048, 8, 4
+MIN_TEXTS = 4
+EPOCHS, BATCH, RATE, SEED = 25, 256, 0.05, 17
+#: L2 on single weights, and the stronger one on factors: a pair counts only where single terms do not explain the label.
+RIDGE, PAIR_RIDGE = 1e-5, 3e-3
 THRESHOLD = 0.7
 
 
@@ -87,14 +89,15 @@ def _example_rows(active: np.ndarray):
 def _forward(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = x @ model["v"]
     pairs = 0.5 * ((s * s).sum(1) - x @ (model["v"] ** 2).sum(1))
-    return model["w0"] + x @ model["w"] + pairs, s
+    return np.float32(model["w0"]) + x @ model["w"] + pairs, s
 
 
 def fit(rows: list[list[int]], y: np.ndarray, size: int) -> dict:
     """Adam on the logistic loss over 0/1 rows given as lists of active indices."""
     r = np.random.default_rng(SEED)
     p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    model = {"w0": np.log(p / (1 - p)), "w": np.zeros(size), "v": r.normal(0, 0.01, (size, FACTORS))}
+    model = {"w0": np.float32(np.log(p / (1 - p))), "w": np.zeros(size, np.float32),
+             "v": r.normal(0, 0.01, (size, FACTORS)).astype(np.float32)}
     names = ("w0", "w", "v")
     m1, m2 = ({k: np.zeros_like(np.asarray(model[k])) for k in names} for _ in range(2))
     step = 0
@@ -102,20 +105,21 @@ def fit(rows: list[list[int]], y: np.ndarray, size: int) -> dict:
         order = r.permutation(len(y))
         for lo in range(0, len(y), BATCH):
             take = order[lo:lo + BATCH]
-            x = np.zeros((len(take), size))
+            x = np.zeros((len(take), size), np.float32)
             for i, k in enumerate(take):
                 x[i, rows[k]] = 1.0
             z, s = _forward(model, x)
-            e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[take]) / len(take)
+            e = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[take]) / len(take)).astype(np.float32)
             xe = x.T @ e
             grad = {"w0": e.sum(), "w": xe + RIDGE * model["w"],
-                    "v": x.T @ (e[:, None] * s) - xe[:, None] * model["v"] + RIDGE * model["v"]}
+                    "v": x.T @ (e[:, None] * s) - xe[:, None] * model["v"] + PAIR_RIDGE * model["v"]}
             step += 1
             rate = RATE * (0.5 if epoch > EPOCHS // 2 else 1.0)
             for k in names:
                 m1[k] = 0.9 * m1[k] + 0.1 * grad[k]
                 m2[k] = 0.999 * m2[k] + 0.001 * grad[k] ** 2
-                model[k] = model[k] - rate * (m1[k] / (1 - 0.9 ** step)) / (np.sqrt(m2[k] / (1 - 0.999 ** step)) + 1e-8)
+                move = rate * (m1[k] / (1 - 0.9 ** step)) / (np.sqrt(m2[k] / (1 - 0.999 ** step)) + 1e-8)
+                model[k] = (model[k] - move).astype(np.float32)
     return model
 
 
@@ -149,7 +153,7 @@ def predict(model: dict, t: T.Texts) -> np.ndarray:
     at, doc = _lookup(model["active"], t)
     linear = np.bincount(doc, model["w"][at] - 0.5 * (model["v"][at] ** 2).sum(1), n)
     squares = sum(np.bincount(doc, model["v"][at, f], n) ** 2 for f in range(FACTORS))
-    return 1 / (1 + np.exp(-np.clip(model["w0"] + linear + 0.5 * squares, -40, 40)))
+    return 1 / (1 + np.exp(-np.clip(model["w0"] + linear + 0.5 * squares, -30, 30)))
 
 
 def _score_rows(model: dict):
