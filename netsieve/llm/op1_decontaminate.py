@@ -6,8 +6,8 @@ DataFrame and SQL functions only.
    multisets of 5-word shingles (hashed to 64 bits); an item of fewer words is
    one shingle.  Items above ``PIECE_WORDS`` words are compared piece by piece.
 2. A window that reaches the threshold t shares at least t of the item's
-   shingle weight.  So only starts are kept at which the window holds that
-   many shingles that occur anywhere in the benchmark: this drops no match, and leaves the
+   shingle weight.  So only starts are kept at which a window of n words holds
+   that many shingles that occur in benchmark items of n words: this drops no match, and leaves
    text that has nothing of the benchmark out of the rest of the work.
 3. Every kept window gets a 64-bit SimHash, each shingle weighing its
    multiplicity.  The fingerprints are indexed by 4 blocks of 16 bits: two
@@ -76,7 +76,7 @@ def _block(fp: str, b: str) -> str:
 
 
 def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, n, size, codes, fp) of each piece of each item with a word."""
+    """(item_id, n, size, codes, fp, item_key) of each piece of each item with a word; equal pieces share their key."""
     piece = F.expr(f"explode(transform(sequence(0, int((size(h) - 1) / {PIECE_WORDS})), "
                    f"i -> slice(h, i * {PIECE_WORDS} + 1, {PIECE_WORDS})))")
     t = (benchmark.select(F.col(id_col).cast("long").alias("item_id"), word_hashes(F.col(text_col)).alias("h"))
@@ -85,7 +85,8 @@ def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
     codes = F.when(F.col("size") == SHINGLE, shingles("h", SHINGLE))
     for k in range(1, SHINGLE):
         codes = codes.when(F.col("size") == k, shingles("h", k))
-    return t.withColumn("codes", codes).withColumn("fp", simhash("codes")).drop("h")
+    t = t.withColumn("codes", codes).withColumn("fp", simhash("codes"))
+    return t.withColumn("item_key", F.xxhash64("n", "codes")).drop("h")
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -93,7 +94,7 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def touched(texts: DataFrame, codes: DataFrame, sizes: list[int]) -> DataFrame:
-    """(key, size, hits): sorted positions at which a text has a shingle of the benchmark."""
+    """(key, size, n, hits): sorted positions at which a text has a shingle of a benchmark item of n words."""
     least = min(sizes)
     at = (texts.where(F.size("h") >= least)
           .select("key", "h", F.explode(F.expr(f"sequence(0, size(h) - {least})")).alias("p")))
@@ -103,22 +104,16 @@ def touched(texts: DataFrame, codes: DataFrame, sizes: list[int]) -> DataFrame:
         each = ", ".join(f"named_struct('size', {k}, 'code', {_code('h', 'p', k)}, 'fits', p + {k} <= size(h))" for k in sizes)
         at = (at.select("key", "p", F.explode(F.expr(f"array({each})")).alias("s")).where("s.fits")
               .select("key", "p", "s.size", "s.code"))
-    return (at.join(small_side(codes), ["size", "code"], "left_semi")
-            .groupBy("key", "size").agg(F.sort_array(F.collect_set("p")).alias("hits")))
+    return (at.join(small_side(codes), ["size", "code"])
+            .groupBy("key", "size", "n").agg(F.sort_array(F.collect_set("p")).alias("hits")))
 
 
-def windows(texts: DataFrame, hits: DataFrame, lengths: list[tuple[int, int]], percent: int) -> DataFrame:
-    """(key, n, start, codes) of the item-sized windows that hold enough benchmark shingles.
-
-    ``lengths`` are the distinct (words, shingle size) of the items, at most PIECE_WORDS.
-    """
-    sizes = sorted({k for _, k in lengths})
+def windows(texts: DataFrame, hits: DataFrame, sizes: list[int], percent: int) -> DataFrame:
+    """(key, n, start, codes) of the windows of n words that hold enough shingles of items of n words."""
     per_size = F.when(F.lit(False), F.array().cast("array<bigint>"))
     for k in sizes:
         per_size = per_size.when(F.col("size") == k, shingles("h", k))
-    ways = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k")) for n, k in lengths])
-    t = (texts.join(hits, "key").withColumn("all", per_size).withColumn("way", F.explode(ways)).where("way.k = size")
-         .select("key", "hits", "all", F.col("way.n").alias("n"), F.expr("way.n - way.k + 1").alias("c"))
+    t = (texts.join(hits, "key").withColumn("all", per_size).withColumn("c", F.expr("n - size + 1"))
          .withColumn("need", F.expr(f"int(ceil({percent} * c / 100.0D - 1e-9D))"))
          .where("size(hits) >= need"))
     # Any ``need`` consecutive hits that fit into one window allow the starts from which it holds them all.
@@ -140,20 +135,19 @@ def _common(x: str, y: str) -> str:
 def matches(found: DataFrame, bench: DataFrame, percent: int) -> DataFrame:
     """Verified (key, item_id, similarity, start, hamming) of windows against items of their length."""
     near = F.expr(f"explode(filter(sequence(0, {(1 << BLOCK_BITS) - 1}), x -> bit_count(x) <= {RADIUS // BLOCKS}))")
-    probes = (bench.select("item_id", "n", "fp", F.col("codes").alias("item_codes"),
-                           F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b"))
+    probes = (bench.select("item_key", "n", "fp").distinct()
+              .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
               .select("*", near.alias("flip")).withColumn("v", F.expr(f"{_block('fp', 'b')} ^ flip")).drop("flip")
               .withColumnRenamed("fp", "item_fp"))
-    w = (found.withColumn("fp", simhash("codes"))
+    w = (materialise(found.withColumn("fp", simhash("codes")), "fingerprints")
          .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("v", F.expr(_block("fp", "b"))))
     earlier = " or ".join(f"(b > {i} and bit_count({_block('(fp ^ item_fp)', str(i))}) <= {RADIUS // BLOCKS})"
                           for i in range(BLOCKS - 1))
     both = _common("codes", "item_codes")
-    return (w.join(small_side(materialise(probes.drop("item_codes"), "probes")), ["n", "b", "v"])
+    return (w.join(small_side(materialise(probes, "probes")), ["n", "b", "v"])
             .withColumn("hamming", F.expr("bit_count(fp ^ item_fp)"))
             .where(f"hamming <= {RADIUS} and not ({earlier})")  # a pair found by several blocks counts once
-            .join(bench.select("item_id", "n", F.col("fp").alias("item_fp"), F.col("codes").alias("item_codes")),
-                  ["item_id", "n", "item_fp"])
+            .join(bench.select("item_id", "item_key", F.col("codes").alias("item_codes")), "item_key")
             .withColumn("common", F.expr(both))
             .withColumn("union", F.expr("size(codes) + size(item_codes) - common"))
             .where(f"common > 0 and common * 100 >= {percent} * union")
@@ -164,18 +158,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, text_co
     """(text key, item_id, similarity, start, hamming): the best window of each text and item at or above the threshold."""
     spark = docs.sparkSession
     bench = materialise(items(benchmark), "benchmark")
-    lengths = [tuple(r) for r in bench.select("n", "size").distinct().orderBy("n").collect()]  # at most PIECE_WORDS
-    if not lengths:
+    sizes = [r.size for r in bench.select("size").distinct().orderBy("size").collect()]  # at most SHINGLE numbers
+    if not sizes:
         return spark.createDataFrame([], "key long, item_id long, similarity double, start int, hamming int")
-    codes = materialise(bench.select("size", F.explode("codes").alias("code")).distinct(), "benchmark-codes")
+    codes = materialise(bench.select("size", "n", F.explode("codes").alias("code")).distinct(), "benchmark-codes")
     texts = _keyed(docs, text_col).select(F.col("_text_key").alias("key"), F.col(text_col).alias("text"))
     hashed = texts.select("key", word_hashes(F.col("text")).alias("h"))
-    hits = materialise(touched(hashed, codes, sorted({k for _, k in lengths})), "touched")
+    hits = materialise(touched(hashed, codes, sizes), "touched")
     keys = materialise(hits.select("key").distinct(), "touched-keys")
     once = texts.join(small_side(keys), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     once = materialise(once.select("key", word_hashes(F.col("text")).alias("h")), "touched-texts")
     best = F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("start")).alias("s")))
-    found = (matches(windows(once, hits, lengths, percent), bench, percent).groupBy("key", "item_id").agg(best.alias("m"))
+    found = (matches(windows(once, hits, sizes, percent), bench, percent).groupBy("key", "item_id").agg(best.alias("m"))
              .select("key", "item_id", "m.similarity", (-F.col("m.s")).alias("start"), (-F.col("m.h")).alias("hamming")))
     return materialise(found, "leaks")
 
