@@ -4,6 +4,7 @@ artefact check, run log (L10-L12, K5-K7, S8, S9, A27, A28)."""
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -46,16 +47,23 @@ def read_registry(spark: SparkSession, registry_path: str) -> DataFrame:
     return spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path)
 
 
-def promote(spark: SparkSession, model: PipelineModel, metrics: DataFrame, root: str,
+def promote(spark: SparkSession, model: PipelineModel | str, metrics: DataFrame, root: str,
             model_name: str, n_features: int, n_classes: int, objective: str = "multiclass",
             notes: str = "") -> DataFrame:
     """L11 + K5 + K6 + K7: save under ``final/``, write the metrics record, append a registry row.
 
-    Metrics come from ``evaluate`` (a one-row DataFrame), never from literals.
+    Metrics come from ``evaluate`` (a one-row DataFrame, computed once), never
+    from literals.  ``model`` may be the path of a saved artefact: an absent one
+    is an error.  Every promotion gets a version of its own and overwrites nothing.
     """
+    if isinstance(model, str):
+        if not path_exists(spark, model):
+            raise FileNotFoundError(f"no model artefact at {model}")
+        model = PipelineModel.load(model)
     stamp = time.strftime("%Y%m%d_%H%M%S")
-    final = f"{root.rstrip('/')}/final/{model_name}_{stamp}"
-    model.write().overwrite().save(final)
+    final = f"{root.rstrip('/')}/final/{model_name}_{stamp}_{uuid.uuid4().hex[:8]}"
+    model.save(final)
+    metrics = spark.createDataFrame([metrics.first()], metrics.schema)
     row = metrics.select(
         F.lit(stamp).alias("created"), F.lit(model_name).alias("model_name"),
         F.lit(final).alias("final_model_path"), F.lit(objective).alias("objective"),
@@ -63,7 +71,7 @@ def promote(spark: SparkSession, model: PipelineModel, metrics: DataFrame, root:
         F.col("macro_recall").alias("recall"), F.col("macro_f1").alias("f1"),
         F.lit(n_features).cast("int").alias("features"),
         F.lit(n_classes).cast("int").alias("num_classes"), F.lit(notes).alias("notes"))
-    row.coalesce(1).write.mode("overwrite").json(f"{final}_metrics")
+    row.coalesce(1).write.json(f"{final}_metrics")
     registry = f"{root.rstrip('/')}/registry"
     row.write.mode("append").parquet(registry)
     return read_registry(spark, registry)

@@ -13,12 +13,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsieve.functions.expressions import is_attack
+from netsieve.operators.rowindex import with_row_index
 
 
 def _features_array(cols):
     return F.array(*[F.col(c).cast("double") for c in cols])
 
 
+def _numbered(df: DataFrame, order_col: str, out_col: str) -> DataFrame:
+    """``out_col``: 0-based position; the order column itself unless it has gaps (a filtered table)."""
+    span = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if span["n"] and (span["lo"] != 0 or span["hi"] != span["n"] - 1):
+        return with_row_index(df, [order_col], out_col)
+    return df.withColumn(out_col, F.col(order_col))
+
+
 def sequence_ids(df: DataFrame, order_col: str, length: int = 10,
                  out_col: str = "sequence_id") -> DataFrame:
     """``sequence_id = floor(row_id / length)``."""
@@ -32,7 +41,7 @@ def tumbling_sequences(df: DataFrame, order_col: str, feature_cols, label_col: s
     Output: sequence_id, first_row, n_rows, seq (array<array<double>>), label.
     The majority label breaks ties toward the smallest label (smallest class index).
     """
-    s = sequence_ids(df, order_col, length)
+    s = sequence_ids(_numbered(df, order_col, "_at"), "_at", length)
     g = s.groupBy("sequence_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("o"),
                                              _features_array(feature_cols).alias("x"))))
@@ -49,9 +58,10 @@ def sliding_sequences(df: DataFrame, order_col: str, feature_cols, label_col: st
                       block_rows: int = 1 << 13) -> DataFrame:
     """W4 + A17 + G3: windows of ``length`` consecutive rows, stride 1, label = any attack.
 
-    ``order_col`` must be a dense 0-based index (see ``with_row_index``); a
-    window is kept only when all ``length`` rows exist, giving n - length + 1
-    windows.  Like the reference, windows run across day and file borders.
+    Rows follow one another in ``order_col``; on an index with gaps (a filtered
+    table) the rows are first numbered anew (see ``with_row_index``), as a check of
+    min, max and count decides, so the result never depends on ``block_rows``.
+    ``start`` is the first row's ``order_col``.  n rows give n - length + 1 windows.  Like the reference, windows run across day and file borders.
 
     Plan: the index is cut into blocks of ``block_rows``; the first
     ``length - 1`` rows of each block are copied into the previous block (a
@@ -59,9 +69,10 @@ def sliding_sequences(df: DataFrame, order_col: str, feature_cols, label_col: st
     runs per block.  The shuffle moves about n rows (not length x n), and no
     window partition holds more than ``block_rows + length - 1`` rows.
     """
-    base = df.select(F.col(order_col).cast("bigint").alias("o"),
+    base = df.select(F.col(order_col).cast("bigint").alias("s"),
                      _features_array(feature_cols).alias("x"),
                      is_attack(label_col, benign).alias("y"))
+    base = _numbered(base, "s", "o")
     o = F.col("o")
     blk = F.floor(o / block_rows).cast("bigint")
     own = base.withColumn("blk", blk).withColumn("halo", F.lit(False))
@@ -69,7 +80,7 @@ def sliding_sequences(df: DataFrame, order_col: str, feature_cols, label_col: st
             .withColumn("blk", blk - 1).withColumn("halo", F.lit(True)))
     w = Window.partitionBy("blk").orderBy("o").rowsBetween(0, length - 1)
     framed = own.unionByName(halo).select(
-        F.col("o").alias("start"), "halo",
+        F.col("s").alias("start"), "halo",
         F.count(F.lit(1)).over(w).alias("n_rows"),
         F.collect_list("x").over(w).alias("seq"),
         F.max("y").over(w).alias("is_attack"))

@@ -171,7 +171,7 @@ LAST50_SQL = with_ctes(FLOWS_CTE, MSG_CTE) + """
 SELECT row_id, src_ip, dst_ip, protocol, length, timestamp, prediction,
   CASE WHEN prediction = 1 THEN 'high' ELSE 'low' END AS severity,
   CASE WHEN prediction = 1 THEN 'MALICIOUS' ELSE 'ACK' END AS flag
-FROM m WHERE k NOT IN (3, 4, 5) ORDER BY ts DESC, row_id DESC LIMIT 50"""
+FROM m WHERE k NOT IN (3, 4, 5, 6) ORDER BY ts DESC, row_id DESC LIMIT 50"""
 LOG_COLS = ["row_id", "src_ip", "dst_ip", "protocol", "length", "timestamp", "prediction",
             "severity", "flag"]
 
@@ -220,7 +220,7 @@ def stream_run(spark, sf_dir):
 
 COUNTERS_SQL = with_ctes(FLOWS_CTE, MSG_CTE, """c AS (SELECT count(*) AS total,
   count(*) FILTER (WHERE prediction = 1) AS malicious, count(*) FILTER (WHERE prediction = 0) AS benign,
-  CAST(0 AS BIGINT) AS suspicious FROM m WHERE k NOT IN (4, 5))""")
+  CAST(0 AS BIGINT) AS suspicious FROM m WHERE k NOT IN (4, 5, 6))""")
 
 
 @register("stream_counters", COUNTERS_SQL + """
@@ -243,8 +243,8 @@ def stream_last50(spark, sf_dir):
 
 
 @register("stream_rejects", with_ctes(FLOWS_CTE) + """
-SELECT row_id, CASE WHEN total_fwd_packets = 4 THEN 'json' ELSE 'length' END AS reason
-FROM flows WHERE total_fwd_packets IN (4, 5)""")
+SELECT row_id, CASE total_fwd_packets WHEN 4 THEN 'json' WHEN 5 THEN 'length' ELSE 'value' END AS reason
+FROM flows WHERE total_fwd_packets IN (4, 5, 6)""")
 def stream_rejects(spark, sf_dir):
     return SC.all_batches(spark, stream_run(spark, sf_dir), "rejects").select("row_id", "reason")
 

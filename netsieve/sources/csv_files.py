@@ -9,6 +9,10 @@ two-pass index -- the reference's "position after ordered concat".
 
 from __future__ import annotations
 
+import csv
+import re
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +22,7 @@ from netsieve.functions.expressions import day_from_file
 from netsieve.operators.rowindex import with_row_index
 
 CORRUPT = "_corrupt_record"
-# Identifier columns dropped at ingest when present.
+# Identifier columns dropped at ingest when present.
 ID_COLUMNS = ["Flow ID", "Source IP", "Destination IP", "Timestamp"]
 
 
@@ -36,27 +40,122 @@ def write_flow_csvs(df: DataFrame, path: str, file_col: str = "source_file",
     out.write.mode("overwrite").option("header", True).partitionBy(file_col).csv(path)
 
 
+def _data_files(spark: SparkSession, path: str) -> list[str]:
+    """Data files under a folder, in name order."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    it = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    out = []
+    while it.hasNext():
+        p = it.next().getPath()
+        if not p.getName().startswith(("_", ".")):
+            out.append(p.toString())
+    return sorted(out)
+
+
+def _header(spark: SparkSession, file: str) -> list[str] | None:
+    """Column names in a file's first line; None when it cannot be read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(file)
+    try:
+        stream = p.getFileSystem(conf).open(p)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+            source = stream if codec is None else codec.createInputStream(stream)
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine()
+        finally:
+            stream.close()
+    except Py4JJavaError:
+        return None
+    return next(csv.reader([line])) if line else []
+
+
+def _whole_gzip(batches):
+    """Names of the gzip files whose stream ends properly (one file is one row)."""
+    import zlib
+
+    import pyarrow as pa
+    for batch in batches:
+        good = []
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            data, ok = memoryview(content.as_buffer()), False
+            try:
+                d = zlib.decompressobj(31)
+                for at in range(0, len(data), 1 << 20):
+                    piece = bytes(data[at:at + (1 << 20)])
+                    while piece:
+                        d.decompress(piece)
+                        piece, d = (d.unused_data, zlib.decompressobj(31)) if d.eof and d.unused_data else (b"", d)
+                ok = d.eof
+            except zlib.error:
+                pass
+            if ok:
+                good.append(name)
+        yield pa.RecordBatch.from_arrays([pa.array(good, pa.string())], names=["name"])
+
+
+def readable_files(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """{file: column names} of the files that can be read to their end.
+
+    Compressed files are read through once, in tasks; a file that is cut short
+    is left out whole, as one whose header cannot be read.
+    """
+    files = _data_files(spark, path)
+    packed = [f for f in files if f.endswith(".gz")]
+    if packed:
+        checked = spark.read.format("binaryFile").load(packed).select("path", "content") \
+            .mapInArrow(_whole_gzip, "name string")
+        names = {_plain(r["name"]) for r in checked.collect()}
+        files = [f for f in files if f not in packed or _plain(f) in names]
+    headers = {f: _header(spark, f) for f in files}
+    return {f: h for f, h in headers.items() if h}
+
+
+def _plain(uri: str) -> str:
+    return re.sub(r"^file:/+", "/", uri)
+
+
 def read_flow_csvs(spark: SparkSession, path: str, schema: T.StructType,
                    file_col: str = "source_file", index_col: str = "row_id",
                    drop_ids: bool = True) -> DataFrame:
-    """S1 + S2 + C1 + C3 + F1 + W1: scan a CSV folder into one indexed flow table.
+    """S1 + S2 + C1 + C3 + F1 + W1 + U1: scan a CSV folder into one indexed flow table.
 
-    ``schema`` lists the data columns as written (dirty names allowed).  Rows
-    that do not parse keep their text in ``_corrupt_record``; unreadable files
-    are skipped (``ignoreCorruptFiles``) and show up in ``load_report``.
+    ``schema`` lists the data columns (names are compared without surrounding
+    blanks).  Columns are matched by header name, file by file: files of one
+    header are one scan, scans are united by name, a column that a file lacks is
+    NULL there, and a header name outside the schema is an error.  Rows that do
+    not parse keep their text in ``_corrupt_record``; files that cannot be read
+    to their end contribute nothing and are listed by ``missing_files``.
     """
-    full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).option("ignoreCorruptFiles", True)
-           .csv(path))
-    if file_col not in raw.columns:  # plain folder: provenance from the file name
-        raw = raw.withColumn(file_col, F.col("_metadata.file_name"))
-    df = strip_column_names(raw)
-    df = df.withColumn("day", day_from_file(file_col))
-    keyed = df.select("*", F.col("_metadata.file_name").alias("_file"),
-                      F.col("_metadata.file_block_start").alias("_block"),
-                      F.monotonically_increasing_id().alias("_seq"))
-    indexed = with_row_index(keyed, [file_col, "_file", "_block", "_seq"], index_col)
+    types = {f.name.strip(): f.dataType for f in schema.fields}
+    by_header: dict[tuple, list[str]] = {}
+    for file, header in readable_files(spark, path).items():
+        unknown = [c for c in header if c.strip() not in types]
+        if unknown:
+            raise ValueError(f"columns {unknown} of {file} are not in the schema")
+        by_header.setdefault(tuple(header), []).append(file)
+    parts = []
+    for header, files in by_header.items():
+        fields = [T.StructField(c, types[c.strip()]) for c in header] + [T.StructField(CORRUPT, T.StringType())]
+        raw = (spark.read.schema(T.StructType(fields)).option("header", True).option("mode", "PERMISSIVE")
+               .option("enforceSchema", False).option("columnNameOfCorruptRecord", CORRUPT)
+               .option("basePath", path).csv(files))
+        if file_col not in raw.columns:  # plain folder: provenance from the file name
+            raw = raw.withColumn(file_col, F.col("_metadata.file_name"))
+        parts.append(strip_column_names(raw.select(
+            "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_seq"))))
+    if not parts:
+        empty = T.StructType([T.StructField(c, t) for c, t in types.items()]
+                             + [T.StructField(c, T.StringType()) for c in (CORRUPT, file_col, "_file")]
+                             + [T.StructField(c, T.LongType()) for c in ("_block", "_seq")])
+        parts = [spark.createDataFrame([], empty)]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p, allowMissingColumns=True)
+    order = [*[c for c in types if c in df.columns], CORRUPT, file_col, "_file", "_block", "_seq"]
+    df = df.select(*[F.col(f"`{c}`") for c in order]).withColumn("day", day_from_file(file_col))
+    indexed = with_row_index(df, [file_col, "_file", "_block", "_seq"], index_col)
     out = indexed.drop("_file", "_block", "_seq")
     if drop_ids:
         out = out.drop(*ID_COLUMNS)

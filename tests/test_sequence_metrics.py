@@ -88,3 +88,12 @@ def test_sliding_blocks_match_small_block_size(spark):
              Q.sliding_sequences(df, "row_id", ["x"], "label", 5, block_rows=7).collect()}
     assert big == small and len(big) == 49
     assert big[0][1] == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+def test_windows_on_an_index_with_gaps_do_not_depend_on_blocks(spark):
+    df = _rows(spark, 40).where("row_id % 3 <> 1")
+    n = df.count()
+    one = [r["start"] for r in Q.sliding_sequences(df, "row_id", ["x"], "label", 5).orderBy("start").collect()]
+    many = [r["start"] for r in Q.sliding_sequences(df, "row_id", ["x"], "label", 5, block_rows=8).orderBy("start").collect()]
+    assert one == many and len(one) == n - 4
+    assert Q.tumbling_sequences(df, "row_id", ["x"], "label", 5).count() == n // 5

@@ -154,3 +154,58 @@ def test_latest_state_before_any_batch_is_empty(spark):
     out = scratch_path(spark, "no-batches")
     assert SC.latest_state(spark, out, "counters").count() == 0
     assert SC.latest_state(spark, out, "last50").columns[0] == "row_id"
+
+
+def test_null_nan_and_infinite_elements_are_dead_letters(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1)
+    good = [0.0] * MSG.N_FEATURES
+    holed = _msg(good).replace("[0.0", "[null", 1)
+    df = _batch(spark, [(1, t, holed), (2, t, _msg(good)), (3, t, _msg(good).replace("[0.0", "[1e999", 1))])
+    got = {r["row_id"]: r["reject_reason"] for r in MSG.validate(MSG.parse(df)).collect()}
+    assert got == {1: "value", 2: None, 3: "value"}
+
+
+def test_trained_model_survives_bad_values_and_a_restart(spark):
+    from netsieve.operators import models as ML
+    cols = [f"f{i}" for i in range(MSG.N_FEATURES)]
+    rows = [(float(i % 7), *[float(i % 3)] * (len(cols) - 1), "Bot" if i % 2 else "BENIGN") for i in range(40)]
+    train = spark.createDataFrame(rows, cols + ["label"])
+    model, _ = ML.fit(ML.random_forest(cols, num_trees=2, max_depth=3), train, cols)
+    base = scratch_path(spark, "stream-model")
+    msgs = MSG.message_table(spark, SF_SMALL).repartitionByRange(6, "row_id")
+    msgs.where("row_id < 500").write.parquet(f"{base}/src")
+    SC.run(MSG.read_stream(spark, f"{base}/src"), f"{base}/out", f"{base}/ckpt", model)
+    msgs.where("row_id >= 500").write.mode("append").parquet(f"{base}/src")
+    SC.run(MSG.read_stream(spark, f"{base}/src"), f"{base}/out", f"{base}/ckpt", model)
+    bad = SC.all_batches(spark, f"{base}/out", "rejects")
+    assert {r["reason"] for r in bad.select("reason").distinct().collect()} == {"json", "length", "value"}
+    total = SC.latest_state(spark, f"{base}/out", "counters").first()["total"]
+    assert total + bad.count() == msgs.count()
+    assert len(SC._batches(spark, f"{base}/out/state")) <= SC.KEEP_STATES
+
+
+def test_csv_columns_match_by_name_and_cut_files_are_dropped(spark):
+    d = tempfile.mkdtemp(prefix="netsieve-csv-")
+    with open(os.path.join(d, "Monday-a.csv"), "w") as f:
+        f.write("A,B,Label\n1,10,x\n2,20,y\n")
+    with open(os.path.join(d, "Tuesday-b.csv"), "w") as f:
+        f.write("Label, B ,A\nz,30,3\n")
+    with open(os.path.join(d, "Wednesday-c.csv"), "w") as f:
+        f.write("B\n40\n")
+    whole = gzip.compress(("A,B,Label\n" + "".join(f"{i},{i * 7919 % 1009},w\n" for i in range(20000))).encode())
+    with open(os.path.join(d, "Thursday-d.csv.gz"), "wb") as f:
+        f.write(whole[:len(whole) // 2])
+    schema = T.StructType([T.StructField("A", T.LongType()), T.StructField("B", T.LongType()),
+                           T.StructField("Label", T.StringType())])
+    df = read_flow_csvs(spark, d, schema).cache()
+    assert sorted((r["row_id"], r["A"], r["B"], r["Label"]) for r in df.collect()) == [
+        (0, 1, 10, "x"), (1, 2, 20, "y"), (2, 3, 30, "z"), (3, None, 40, None)]
+    assert missing_files(spark, d, df) == ["Thursday-d.csv.gz"]
+    with open(os.path.join(d, "Friday-e.csv"), "w") as f:
+        f.write("A,What\n1,2\n")
+    try:
+        read_flow_csvs(spark, d, schema)
+        raise AssertionError("an unknown column must be an error")
+    except ValueError as e:
+        assert "What" in str(e)
