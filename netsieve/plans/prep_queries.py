@@ -220,24 +220,74 @@ def standard_scale(spark, sf_dir):
     return out.select("row_id", "split", *_feat_r6(out))
 
 
-@register("minmax_scale", with_ctes(
+MINMAX_CTES = [
     FLOWS_CTE, clean_cte(), CA_CTE, group_split_cte("g", "ca"),
     median_fill_cte("gp", "ca", "g", FEATURES),
     "mm AS (SELECT " + ", ".join(
         f"min({c}) AS lo_{c}, CASE WHEN max({c}) = min({c}) THEN 1 ELSE max({c}) - min({c}) END"
-        f" AS r_{c}" for c in FEATURES) + " FROM gp WHERE split = 'train')")
-    + "\nSELECT row_id, split, "
-    + ", ".join(f"{r6(f'({c} - lo_{c}) / r_{c}')} AS {c}" for c in FEATURES)
-    + " FROM gp CROSS JOIN mm")
-def minmax_scale(spark, sf_dir):
+        f" AS r_{c}" for c in FEATURES) + " FROM gp WHERE split = 'train')"]
+
+
+def minmax_prepared(spark, sf_dir):
+    """Cleaned flows, split by group of ten rows, train-fitted medians and min-max scaling."""
     base = _clean_abs(spark, sf_dir)
     g = S.group_split(base.withColumn("sequence_id", F.floor(F.col("row_id") / 10).cast("bigint")),
                       "sequence_id")
     filled, _ = C.fill_median(g, FEATURES, fit_on=g.where(F.col("split") == "train"))
     out, _ = X.minmax_scale(filled, FEATURES, fit_on=filled.where(F.col("split") == "train"))
+    return out
+
+
+@register("minmax_scale", with_ctes(*MINMAX_CTES)
+    + "\nSELECT row_id, split, "
+    + ", ".join(f"{r6(f'({c} - lo_{c}) / r_{c}')} AS {c}" for c in FEATURES)
+    + " FROM gp CROSS JOIN mm")
+def minmax_scale(spark, sf_dir):
+    out = minmax_prepared(spark, sf_dir)
     return out.select("row_id", "split", *_feat_r6(out))
 
 
+DAY_SQL = [
+    FLOWS_CTE, clean_cte(),
+    "z AS (SELECT row_id, label, CASE WHEN day IN (" + ", ".join(repr(d) for d in TRAIN_DAYS)
+    + ") THEN 'train' ELSE 'test' END AS split, " + ", ".join(
+        f"greatest(-1e6, least(1e6, coalesce(CAST({c} AS DOUBLE), 0))) AS {c}" for c in FEATURES) + " FROM clean)",
+    "mm AS (SELECT " + ", ".join(
+        f"min({c}) AS lo_{c}, CASE WHEN max({c}) = min({c}) THEN 1 ELSE max({c}) - min({c}) END"
+        f" AS r_{c}" for c in FEATURES) + " FROM z WHERE split = 'train')",
+    "scaled AS (SELECT row_id, label, split, " + ", ".join(
+        f"({c} - lo_{c}) / r_{c} AS {c}" for c in FEATURES) + " FROM z CROSS JOIN mm)"]
+
+
+def day_prepared(spark, sf_dir):
+    """Missing values filled with 0, clipped, split by day, min-max scaled on the train days."""
+    df = C.normalize_missing(flows(spark, sf_dir), inf_to_null=True)
+    df = C.clip_columns(C.fill_zero(df, FEATURES), FEATURES, -1e6, 1e6)
+    df = S.split_by_values(df, "day", TRAIN_DAYS)
+    return X.minmax_scale(df, FEATURES, fit_on=df.where(F.col("split") == "train"))[0]
+
+
+@register("binary_dataset", with_ctes(
+    *DAY_SQL[:2],
+    "y AS (SELECT *, CASE WHEN label = 'BENIGN' THEN 0 ELSE 1 END AS is_attack FROM clean)",
+    "r AS (SELECT *, row_number() OVER (PARTITION BY is_attack ORDER BY md5(CAST(row_id AS VARCHAR) || ':42'), row_id) - 1 "
+    "AS rk, count(*) OVER (PARTITION BY is_attack) AS n FROM y)",
+    "z AS (SELECT row_id, is_attack, day, CASE WHEN rk < ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split, "
+    + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in FEATURES) + " FROM r)",
+    "st AS (SELECT " + ", ".join(
+        f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}"
+        for c in FEATURES) + " FROM z WHERE split = 'train')") + "\nSELECT row_id, is_attack, split, " + ", ".join(
+            f"CASE WHEN day = '{d}' THEN 1 ELSE 0 END AS day_{d}" for d in WEEKDAYS[1:]) + ", "
+    + ", ".join(f"{r6(f'({c} - m_{c}) / s_{c}')} AS {c}" for c in FEATURES) + " FROM z CROSS JOIN st")
+def binary_dataset(spark, sf_dir):
+    """C11 + X4 + C8 + X5 + M2: is_attack, one-hot day, zero fill, standard scaling, stratified split as one table."""
+    f = C.normalize_missing(flows(spark, sf_dir), inf_to_null=True).withColumn("is_attack", is_attack("label"))
+    f = C.fill_zero(X.one_hot(f, ["day"], drop_first=True), FEATURES)
+    f = S.stratified_split(f, "is_attack", "row_id")
+    out, _ = X.standard_scale(f, FEATURES, fit_on=f.where(F.col("split") == "train"))
+    return out.select("row_id", "is_attack", "split", *[c for c in out.columns if c.startswith("day_")], *_feat_r6(out))
+
+
 @register("target_corr_top", with_ctes(
     *PREP_CTES,
     "y AS (SELECT p.*, CAST(dense_rank() OVER (ORDER BY f.label) - 1 AS DOUBLE) AS y "

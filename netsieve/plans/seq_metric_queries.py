@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netsieve.functions.expressions import is_attack, sigmoid
+from netsieve.functions.expressions import is_attack, rounded, sigmoid
 from netsieve.operators import metrics as M
 from netsieve.operators import sequence as Q
 from netsieve.plans.registry import register
@@ -15,6 +15,14 @@ from netsieve.sources.flows import FEATURES, flows, with_binary_score, with_synt
 from netsieve.streaming import messages as MSG
 from netsieve.streaming import scoring as SC
 
+from netsieve.plans.prep_queries import DAY_SQL, MINMAX_CTES
+
+SEQ_CTES = [*MINMAX_CTES, "scaled AS (SELECT row_id, label, split, " + ", ".join(
+    f"({c} - lo_{c}) / r_{c} AS {c}" for c in FEATURES) + " FROM gp JOIN (SELECT row_id, label FROM flows) l USING (row_id) CROSS JOIN mm)"]
+DAY_CTES = [*DAY_SQL, """w AS (SELECT split, row_id AS start,
+  max(CASE WHEN label = 'BENIGN' THEN 0 ELSE 1 END) OVER f AS is_attack, sum(fwd_iat_mean) OVER f AS iat,
+  count(*) OVER f AS n FROM scaled
+  WINDOW f AS (PARTITION BY split ORDER BY row_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))"""]
 FWD = FEATURES.index("total_fwd_packets")
 BWD = FEATURES.index("total_bwd_packets")
 IAT = FEATURES.index("fwd_iat_mean")
@@ -24,6 +32,11 @@ def _int_seq(seq_col, idx):
     return F.array_join(F.transform(seq_col, lambda x: x[idx].cast("bigint").cast("string")), ",")
 
 
+def _total(seq_col, idx):
+    """Sum of one feature over a sequence."""
+    return rounded(F.aggregate(seq_col, F.lit(0.0), lambda a, x: a + x[idx]))
+
+
 # ---- sequences ------------------------------------------------------------------------
 
 @register("tumbling_sequences", with_ctes(
@@ -58,6 +71,51 @@ def sliding_sequences(spark, sf_dir):
     return s.select("start", "n_rows", "is_attack", _int_seq("seq", FWD).alias("fwd_seq"))
 
 
+# Composed datasets.  Preparation -> split -> scale on train -> windows inside each split -> tensors.
+
+def _windows_sql(split: str, length: int) -> str:
+    """Tumbling windows of ``scaled``, numbered inside each split, with the majority label."""
+    return f"""
+i AS (SELECT *, row_number() OVER (PARTITION BY {split} ORDER BY row_id) - 1 AS pos FROM scaled),
+b AS (SELECT *, pos // {length} AS seq FROM i),
+lab AS (SELECT {split}, seq, label FROM (SELECT {split}, seq, label, row_number() OVER (
+  PARTITION BY {split}, seq ORDER BY count(*) DESC, label) AS rn FROM b GROUP BY {split}, seq, label) t WHERE rn = 1)"""
+
+
+@register("sequence_dataset", with_ctes(
+    *SEQ_CTES, _windows_sql("split", 10).strip()) + f"""
+SELECT split, min(row_id) AS first_row, any_value(lab.label) AS label,
+  {r6('sum(fwd_iat_mean)')} AS iat_sum, {r6('max(total_fwd_packets)')} AS max_fwd
+FROM b JOIN lab USING (split, seq) GROUP BY split, seq HAVING count(*) = 10""")
+def sequence_dataset(spark, sf_dir):
+    """W2 + M5 + X7 + W3 + K3: clean, split by sequence group, min-max on train, full windows per split, written."""
+    from netsieve.plans.prep_queries import minmax_prepared
+    from netsieve.sources.sinks import materialize
+    rows = minmax_prepared(spark, sf_dir)
+    parts = None
+    for split in ("train", "test"):
+        seqs = Q.tumbling_sequences(rows.where(F.col("split") == split), "row_id", FEATURES, "label", 10)
+        seqs = seqs.withColumn("split", F.lit(split))
+        parts = seqs if parts is None else parts.unionByName(seqs)
+    tensors = materialize(parts, "sequence-dataset", partition_by=("split",))
+    return tensors.select("split", "first_row", "label", _total("seq", IAT).alias("iat_sum"),
+                          rounded(F.array_max(F.transform("seq", lambda x: x[FWD]))).alias("max_fwd"))
+
+
+@register("day_split_windows", with_ctes(*DAY_CTES) + f"""
+SELECT split, start, is_attack, {r6('iat')} AS iat_sum FROM w WHERE n = 5""")
+def day_split_windows(spark, sf_dir):
+    """M6 + W4: fill 0, clip, min-max on train days, split by day, number each part anew, sliding windows."""
+    from netsieve.plans.prep_queries import day_prepared
+    rows = day_prepared(spark, sf_dir)
+    parts = None
+    for split in ("train", "test"):
+        w = Q.sliding_sequences(rows.where(F.col("split") == split), "row_id", FEATURES, "label", 5)
+        w = w.select(F.lit(split).alias("split"), "start", "is_attack", _total("seq", IAT).alias("iat_sum"))
+        parts = w if parts is None else parts.unionByName(w)
+    return parts
+
+
 # ---- metrics on the stand-in predictions ----------------------------------------------
 
 PRED_CTE = """p AS (SELECT row_id, label, CASE WHEN row_id % 7 = 0 THEN 'BENIGN'
