@@ -73,8 +73,13 @@ def group_split(df: DataFrame, group_col: str, frac: float = 0.2, name: str = "t
 
 def rows_in_groups(df: DataFrame, groups: DataFrame, group_col: str,
                    keep: bool = True) -> DataFrame:
-    """Rows whose group is (or is not) in a group list (semi / anti join)."""
-    return df.join(groups.select(group_col), group_col, "left_semi" if keep else "left_anti")
+    """Rows whose group is (or is not) in a group list (semi / anti join).
+
+    The list is reduced to its distinct groups and broadcast if it is proven small;
+    a larger one is a shuffle join, in which adaptive skew splitting divides a hot group.
+    """
+    listed = small_side(groups.select(group_col).distinct())
+    return df.join(listed, group_col, "left_semi" if keep else "left_anti")
 
 
 def split_by_values(df: DataFrame, col: str, train_values, train: str = "train",
