@@ -9,7 +9,7 @@ the sample std), a zero std or range divides by 1 as in the reference.
 from __future__ import annotations
 
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsieve.functions.joins import small_side
@@ -126,11 +126,10 @@ def assemble(df: DataFrame, cols, out_col: str = "features",
 
 
 def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """Balanced weight n / (k * n_c) per class (window over the small count table)."""
+    """Balanced weight n / (k * n_c) per class (totals are scalar subqueries, NULL is a class)."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy()
-    total = F.sum("n").over(every)
-    k = F.count(F.lit(1)).over(every)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    k = counts.agg(F.count(F.lit(1))).scalar()
     return counts.withColumn("weight", total.cast("double") / (k * F.col("n")))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsieve.functions.columns import fractional_columns
@@ -23,11 +23,11 @@ def _unpivot(row_df: DataFrame, value_names: list[str], out: str) -> DataFrame:
 def frequency(df: DataFrame, col: str, pct_digits: int = 2) -> DataFrame:
     """A1 + A2 + T3: value counts with percentage share, most frequent first (ties by value).
 
-    The share is a window over the aggregated counts (one row per value), not
-    over the input rows.
+    The total is a scalar subquery over the counts, so a column with very many
+    values (files, addresses) is never gathered into one task.
     """
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = df.agg(F.count(F.lit(1))).scalar()
     return (counts.withColumn("pct", F.round(F.col("n") * 100.0 / total, pct_digits))
             .orderBy(F.desc("n"), F.asc_nulls_last(col)))
 

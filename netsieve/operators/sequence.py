@@ -127,6 +127,26 @@ def event_time_sequences(df: DataFrame, key_cols, ts_col: str, feature_cols, lab
                     F.transform("rows", lambda r: r["x"]).alias("seq"), "is_attack"))
 
 
+def event_time_chunks(df: DataFrame, key_cols, ts_col: str, feature_cols, label_col: str, order_col: str,
+                      window: str = "1 minute", max_rows: int = 1000, benign: str = "BENIGN") -> DataFrame:
+    """W7 with bounded sequences: an entity's window is cut into chunks of at most ``max_rows`` flows by position.
+
+    The rows are numbered once in (key, window, time, order) order by the
+    two-pass index; the smallest number of each key and window is a partial
+    aggregate, and position // max_rows is the chunk.  No task ever holds more than
+    one chunk of an entity, however many flows it has in a window.
+    """
+    t = df.withColumn("_w", F.window(F.col(ts_col), window)["start"])
+    t = with_row_index(t, [*key_cols, "_w", ts_col, order_col], "_idx")
+    first = t.groupBy(*key_cols, "_w").agg(F.min("_idx").alias("_first"))
+    t = t.join(first, [*key_cols, "_w"]).withColumn("chunk", F.floor((F.col("_idx") - F.col("_first")) / max_rows).cast("bigint"))
+    return (t.groupBy(*key_cols, F.col("_w").alias("window_start"), "chunk")
+            .agg(F.sort_array(F.collect_list(F.struct(F.col("_idx").alias("o"), _features_array(feature_cols).alias("x"))))
+                 .alias("rows"),
+                 F.max(is_attack(label_col, benign)).alias("is_attack"), F.count(F.lit(1)).alias("n_rows"))
+            .select(*key_cols, "window_start", "chunk", "n_rows", F.transform("rows", lambda r: r["x"]).alias("seq"), "is_attack"))
+
+
 def summary(flows_df: DataFrame, sequences: DataFrame, feature_cols, label_col: str,
             length: int) -> DataFrame:
     """X11: one-row data summary -- rows, features, classes, sequence length and count."""

@@ -370,3 +370,20 @@ def event_time_sequences(spark, sf_dir):
     return s.select("src_ip", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
                     .alias("window_start"), "n_rows", "is_attack",
                     _int_seq("seq", FWD).alias("fwd_seq"))
+
+
+@register("event_time_chunks", with_ctes(FLOWS_CTE) + """
+SELECT src_ip, dst_ip, strftime(w, '%Y-%m-%d') AS window_start, chunk, count(*) AS n_rows,
+  max(CASE WHEN label = 'BENIGN' THEN 0 ELSE 1 END) AS is_attack,
+  string_agg(CAST(total_fwd_packets AS VARCHAR), ',' ORDER BY ts, row_id) AS fwd_seq
+FROM (SELECT *, (row_number() OVER (PARTITION BY src_ip, dst_ip, w ORDER BY ts, row_id) - 1) // 2 AS chunk
+  FROM (SELECT *, '10.0.0.' || CAST(destination_port % 4 AS VARCHAR) AS dst_ip,
+    time_bucket(INTERVAL '1 day', ts) AS w FROM flows) a) b
+GROUP BY src_ip, dst_ip, w, chunk""")
+def event_time_chunks(spark, sf_dir):
+    """W7 by address pair, at most two flows a sequence."""
+    f = flows(spark, sf_dir).withColumn(
+        "dst_ip", F.concat(F.lit("10.0.0."), (F.col("destination_port") % 4).cast("string")))
+    s = Q.event_time_chunks(f, ["src_ip", "dst_ip"], "ts", FEATURES, "label", "row_id", "1 day", max_rows=2)
+    return s.select("src_ip", "dst_ip", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "chunk",
+                    "n_rows", "is_attack", _int_seq("seq", FWD).alias("fwd_seq"))
