@@ -205,7 +205,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     packed = packed.select((F.col("part") * (1 << 32) + F.col("seq")).alias("qb"), "ids", "m")
 
     pair = ["qb", "ids", "m", "thr", "vids", "vm"]
-    first = packed.withColumn("thr", F.lit(None).cast("binary")).withColumn("vb", F.lit(0).cast("long"))
+    first = packed.withColumn("thr", F.lit(None).cast("binary")).withColumn("vb", F.explode(F.array(F.lit(0).cast("long"))))
     # The longest block is one row of at most BLOCK vectors.
     seeds = map_arrow(first.join(F.broadcast(blocks.where("vb = 0")), "vb").select(pair), _pair_rows(rotation, k), _PAIR_SCHEMA)
     kth = (seeds.groupBy("qb", "qi").agg(F.min("score").cast("double").alias("s"), F.count(F.lit(1)).alias("c"))
