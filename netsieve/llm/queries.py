@@ -93,3 +93,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netsieve.llm.op1_decontaminate import contaminated
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netsieve.llm.op3_language_id import identify
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
