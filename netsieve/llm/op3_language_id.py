@@ -76,7 +76,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
                        F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ").alias("text"))
     first = materialise(map_arrow(src, _score_rows(np.log(n / n.sum(1, keepdims=True))),
                                   "page_id long, declared string, suffix string, host string, ll array<double>"), "langid")
-    best = F.array_position("ll", F.array_max("ll")).cast("int")
+    # A text without evidence decides nothing and is not counted in any prior.
+    best = F.when(F.array_max("ll") > F.array_min("ll"), F.array_position("ll", F.array_max("ll")).cast("int"))
     first = first.withColumn("text_at", best)
     k = len(langs)
 
