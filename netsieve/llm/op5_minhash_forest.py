@@ -19,9 +19,16 @@
 4. A 2-bit sketch of all minima drops candidates far below the threshold
    (six sigma away), then the full sets confirm each link exactly, and
    contraction gives the components.
+5. A region of more rows than a node meets is *crowded*: there two members
+   of different components may still be similar (filled templates, copies
+   whose original is absent).  The members of such regions are joined exactly,
+   by prefix filtering: sets in one order, rarest shingles first, and a pair
+   at the threshold shares a shingle early in both.  Pairs inside a component
+   are settled and never made.  The links found join components.
 
-A pair at J = 0.8 shares the first two values of a tree with probability
-0.64; all 12 trees miss it with probability 5e-6.
+So every pair that shares the first two values of some tree is met.  A pair
+at J = 0.8 does so in one tree with probability 0.64; all 12 trees miss it
+with probability 5e-6.
 
 Defined cases: a document without words (or NULL text) has an empty set and
 no link; fewer words than the shingle size make one shingle of the whole
@@ -48,6 +55,10 @@ REGION_ROWS = 20_000
 SHINGLE, PERCENT = 5, 80
 #: Of 96 sketch values, those that must agree: J = 0.8 gives 81.6 on average (sigma 3.5).
 SKETCH_AGREE = 62
+#: Shingle counts that order the prefixes are kept per hash bucket; any counts give a right order.
+BUCKET_BITS = 20
+#: Rows of one shingle that meet in one task, on either side.
+CELL_ROWS = 1000
 
 _K = TREES * DEPTH
 _MULT = T.mix64(np.arange(1, _K + 1, dtype=np.uint64)) | np.uint64(1)
@@ -107,8 +118,9 @@ def _similar(x: str, y: str):
     return (F.lit(_K) - differ >= SKETCH_AGREE) & (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of nodes the forest proposes; at most NEIGHBOURS + 4 per node and tree."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b: pairs of nodes the forest proposes, at most NEIGHBOURS + 4 per node and tree;
+    and (tree, p, me), the rows of the regions too large for all their pairs to be among them."""
     me = F.struct("node", F.col("n_shingles").alias("n"), "sk1", "sk2", "sk3")
     rows = (nodes.select(me.alias("me"), "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
             .select("me", "tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("path")))
@@ -137,15 +149,110 @@ def candidates(nodes: DataFrame) -> DataFrame:
     placed = materialise(placed.select(
         "tree", "me", "path", region.otherwise(F.col("path")).alias("region"),
         F.when(F.col(f"c{DEPTH}") > REGION_ROWS, part).otherwise(F.lit(0)).alias("part"),
-        F.array(*[f"h{d}" for d in DEPTHS]).alias("hubs")), "regions")
+        F.array(*[f"h{d}" for d in DEPTHS]).alias("hubs"),
+        (F.col(f"c{START}") > NEIGHBOURS + 1).alias("crowded")), "regions")
 
     w = Window.partitionBy("tree", "region", "part").orderBy("path", "me.node")
     near = (placed.select("me", F.array(*[F.lead("me", k).over(w) for k in range(1, NEIGHBOURS + 1)]).alias("o"))
             .select("me", F.explode("o").alias("other")))
     hubs = placed.select("me", F.explode(F.array_distinct("hubs")).alias("other"))
-    return (near.unionAll(hubs).where("other is not null and other.node <> me.node").where(_similar("me", "other"))
-            .select(F.least("me.node", "other.node").alias("a"), F.greatest("me.node", "other.node").alias("b"))
-            .distinct())
+    pairs = (near.unionAll(hubs).where("other is not null and other.node <> me.node").where(_similar("me", "other"))
+             .select(F.least("me.node", "other.node").alias("a"), F.greatest("me.node", "other.node").alias("b"))
+             .distinct())
+    return pairs, placed.where("crowded").select("tree", _prefix(START).alias("p"), "me")
+
+
+def _count_rows(size: int):
+    def run(batches):
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for _, t in T.slices(batch.column(1)):
+                h, _ = T.shingle_sets(t, size)
+                counts += np.bincount((h >> np.uint64(52 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["bucket", "c"])
+    return run
+
+
+def _posting_rows(size: int, percent: int, counts: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            rest = [batch.column(i) for i in range(2, batch.num_columns)]
+            said = rest[0].to_numpy(zero_copy_only=False)
+            for lo, t in T.slices(batch.column(1)):
+                n_docs = len(t.offsets) - 1
+                h, doc = T.shingle_sets(t, size)
+                freq = counts[(h >> np.uint64(52 - BUCKET_BITS)).astype(np.int64)]
+                order = np.lexsort((h, freq, doc))
+                h, freq, doc = h[order], freq[order], doc[order]
+                n = np.bincount(doc, minlength=n_docs)
+                pos = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+                n = n[doc]
+                # A text of the node with another set has rows of its own; a shingle counted once has no partner.
+                use = np.flatnonzero((pos <= n + -percent * n // 100) & (freq > 1) & (n == said[lo + doc]))
+                at = pa.array(lo + doc[use])
+                first = pos[use] <= n[use] + -2 * percent * n[use] // (100 + percent)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[use].astype(np.int64)), pa.array(pos[use]), pa.array(first), batch.column(0).take(at),
+                     *(c.take(at) for c in rest)],
+                    names=["shingle", "pos", "first", "node", *_INFO])
+    return run
+
+
+_INFO = ("n", "component", "sk1", "sk2", "sk3")
+
+
+def finished(crowded: DataFrame, found: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str,
+             text_col: str) -> DataFrame | None:
+    """(a, b), a < b: pairs of different components in crowded regions that can reach the threshold (none: no pair).
+
+    A set y and a set x of no fewer elements at the threshold have their first
+    common shingle among y's first ``n - ceil(2tn / (1 + t)) + 1`` and x's first
+    ``n - ceil(tn) + 1``, and enough elements after it.
+    """
+    rows = crowded.join(found, crowded["me.node"] == found["node"], "left").select(
+        "tree", "p", "me", F.coalesce("component", "me.node").alias("component"))
+    rows = materialise(rows, "crowded")
+    mixed = (rows.groupBy("tree", "p").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo <> hi").select("tree", "p"))
+    open_ = materialise(rows.join(small_side(materialise(mixed, "mixed")), ["tree", "p"], "left_semi")
+                        .select("me.node", "me.n", "component", "me.sk1", "me.sk2", "me.sk3").distinct(), "open")
+    if open_.limit(1).count() == 0:
+        return None
+    text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).distinct()
+    text = text.join(small_side(open_), "node").select("node", "text", *_INFO)
+    seen = (map_arrow(text, _count_rows(size), "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c"))
+            .where("c > 1").toArrow())  # at most 2 ** BUCKET_BITS rows
+    counts = np.ones(1 << BUCKET_BITS, np.uint32)
+    counts[seen["bucket"].to_numpy()] = np.minimum(seen["c"].to_numpy(), 2 ** 32 - 1)
+    posts = materialise(map_arrow(text, _posting_rows(size, percent, counts),
+                                  "shingle long, pos long, first boolean, node long, n long, component long, "
+                                  "sk1 long, sk2 long, sk3 long"), "postings")
+
+    # Of two components one is not the shingle's largest: its rows meet all rows, the largest meets only the others.
+    per = posts.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"), F.count_if("first").alias("f"))
+    keys = (per.groupBy("shingle").agg(
+        F.sum("c").alias("c"), F.sum("f").alias("f"), F.count(F.lit(1)).alias("k"),
+        F.max(F.struct("c", "component", "f")).alias("m")).where("k > 1 and f > 0")
+        .select("shingle", F.col("m.component").alias("major"), F.expr(
+            "array(struct(f - m.f as l, c as r), struct(m.f as l, c - m.c as r))").alias("halves")))
+    keys = small_side(materialise(keys, "shared-shingles"))
+    rows = posts.join(keys, "shingle").withColumn("minor", F.expr("component <> major"))
+    cells = lambda k, half: f"int(ceil(halves[{half}].{k} / {CELL_ROWS}D))"
+    left = (rows.where("first").withColumn("half", F.expr("if(minor, 0, 1)"))
+            .withColumn("i", F.expr(f"pmod(xxhash64(node), {cells('l', 'half')})"))
+            .withColumn("j", F.explode(F.expr(f"sequence(0, {cells('r', 'half')} - 1)"))))
+    right = (rows.withColumn("half", F.explode(F.expr("if(minor, array(0, 1), array(0))")))
+             .where("halves[half].l > 0")
+             .withColumn("j", F.expr(f"int(pmod(xxhash64(node), {cells('r', 'half')}))"))
+             .withColumn("i", F.explode(F.expr(f"transform(sequence(0, {cells('l', 'half')} - 1), v -> bigint(v))"))))
+    wanted = ["shingle", "half", "i", "j", "node", "pos", *_INFO]
+    x, y = left.select(wanted).alias("x"), right.select(wanted).alias("y")
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("shingle", "half", "i", "j")]
+    return (x.join(y, [*same, F.col("x.component") != F.col("y.component"), F.col("x.n") <= F.col("y.n"),
+                       F.expr(f"least(x.n - x.pos, y.n - y.pos) * {100 + percent} >= {percent} * (x.n + y.n)"),
+                       _similar("x", "y")])
+            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
 
 def _set_rows(size: int):
@@ -186,6 +293,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
                      _confirm_rows(percent), "a long, b long")
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links between their nodes."""
+    for k in ("a", "b"):
+        side = found.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+        links = links.join(side, k, "left").withColumn(f"c{k}", F.coalesce(f"c{k}", k))
+    links = materialise(links.select("a", "b", "ca", "cb"), "more-links")
+    over = components(links, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    nodes = found.unionByName(links.select(F.col("a").alias("node"), F.col("ca").alias("component"))).unionByName(
+        links.select(F.col("b").alias("node"), F.col("cb").alias("component"))).distinct()
+    return nodes.join(over, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept, per input row."""
@@ -196,12 +315,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                      .select("doc_id", "n_shingles", "node", "fp1", "fp2"), "classes")
     heads = of.where("doc_id = node").select("doc_id", "node", "fp1", "fp2").distinct()
     nodes = sig.join(heads, ["doc_id", "fp1", "fp2"])
-    links = confirmed(candidates(nodes), docs, size, percent, id_col, text_col)
+    pairs, crowded = candidates(nodes)
+    links = confirmed(pairs, docs, size, percent, id_col, text_col)
     # An id that occurs with several texts ties their classes together.
     several = (of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
                .where("a <> z").select("doc_id", "a"))
     ties = of.join(several, "doc_id").select("a", F.col("node").alias("b"))
     found = components(links.unionByName(ties))
+    more = finished(crowded, found, docs, size, percent, id_col, text_col)
+    if more is not None:
+        found = _joined(found, confirmed(more, docs, size, percent, id_col, text_col))
     part = (of.join(found, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")))
     rest = sig.where("n_shingles = 0 or doc_id is null").select(

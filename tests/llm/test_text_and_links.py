@@ -75,6 +75,33 @@ def test_near_copies_of_one_text_meet_through_the_hub(spark, prose):
     assert {r.component_id for r in got} == {0}
 
 
+def test_similar_fillings_of_one_template_are_all_found(spark, prose):
+    """3000 texts at J = 0.697 to one another; 400 planted pairs at 0.806-0.815 and 100 just below 0.8."""
+    frame = [f"{w}{i}" for i, w in enumerate(prose(200, 11).split())]
+    slots = [10 + 25 * i for i in range(7)]
+
+    def filled(words):
+        w = list(frame)
+        for at, x in words.items():
+            w[at] = x
+        return w
+    texts, planted = [], []
+    for d in range(2500):
+        texts.append(filled({at: f"d{d}s{at}" for at in slots}))
+    for k in range(500):  # four other fillings, and up to two frame words beside a filling
+        words = {at: f"d{k}s{at}" for at in slots[:3]} | {at: f"e{k}s{at}" for at in slots[3:]}
+        words |= {slots[3] + 1 + i: f"e{k}f{i}" for i in range(k % 5 // 2)}
+        texts.append(filled(words))
+        planted.append((k, 2500 + k))
+    sets = {d: shingles(" ".join(w), 5) for d, w in enumerate(texts)}
+    linked = {b: a for a, b in planted if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(linked) == 400
+    rows = [(d, " ".join(w)) for d, w in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in
+           N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: linked.get(d, d) for d in range(3000)}
+
+
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
     got = N.near_duplicates(odd_docs).collect()
     assert len(got) == 10
