@@ -4,7 +4,7 @@ DataFrame and SQL functions only.
 
 1. A benchmark item of n words is compared with windows of n words.  Both are
    multisets of 5-word shingles (hashed to 64 bits); an item of fewer words is
-   one shingle.  Items above ``PIECE_WORDS`` words are compared piece by piece.
+   one shingle.  An item of any length is compared whole.
 2. A window that reaches the threshold t shares at least t of the item's
    shingle weight.  So only starts are kept at which a window of n words holds
    that many shingles that occur in benchmark items of n words: this drops no match, and leaves
@@ -37,7 +37,6 @@ from netsieve.llm.storage import materialise, small_side
 
 SHINGLE, PERCENT = 5, 80
 RADIUS, BLOCKS, BLOCK_BITS = 15, 4, 16
-PIECE_WORDS = 2000
 _WHITE = " \t\n\x0b\f\r"
 
 
@@ -62,13 +61,18 @@ def shingles(h: str, size: int) -> Column:
 def simhash(codes: str) -> Column:
     """64-bit SimHash of an array of codes: bit b is set where most codes have it.
 
-    Sixteen sums hold four 16-bit counters each (an item has at most PIECE_WORDS codes).
+    Sixteen sums hold four 16-bit counters each; above 65535 codes 32 sums hold two 32-bit counters each.
     """
-    lanes = (f"transform(sequence(0, 15), j -> aggregate({codes}, 0L, "
-             f"(a, x) -> a + (shiftrightunsigned(x, j) & 281479271743489L)))")
-    return F.expr(f"element_at(transform(array({lanes}), l -> aggregate(sequence(0, 63), 0L, (a, b) -> a | if("
-                  f"(shiftrightunsigned(element_at(l, b % 16 + 1), 16 * int(b / 16)) & 65535L) * 2 > size({codes}), "
-                  f"shiftleft(1L, b), 0L))), 1)")
+    return F.expr(f"if(size({codes}) <= 65535, {_majority(codes, 16)}, {_majority(codes, 32)})")
+
+
+def _majority(codes: str, lanes: int) -> str:
+    ones = sum(1 << k for k in range(0, 64, lanes))
+    sums = (f"transform(sequence(0, {lanes - 1}), j -> aggregate({codes}, 0L, "
+            f"(a, x) -> a + (shiftrightunsigned(x, j) & {ones}L)))")
+    return (f"element_at(transform(array({sums}), l -> aggregate(sequence(0, 63), 0L, (a, b) -> a | if("
+            f"(shiftrightunsigned(element_at(l, b % {lanes} + 1), {lanes} * int(b / {lanes})) & {(1 << lanes) - 1}L) * 2 "
+            f"> size({codes}), shiftleft(1L, b), 0L))), 1)")
 
 
 def _block(fp: str, b: str) -> str:
@@ -76,11 +80,9 @@ def _block(fp: str, b: str) -> str:
 
 
 def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, n, size, codes, fp, item_key) of each piece of each item with a word; equal pieces share their key."""
-    piece = F.expr(f"explode(transform(sequence(0, int((size(h) - 1) / {PIECE_WORDS})), "
-                   f"i -> slice(h, i * {PIECE_WORDS} + 1, {PIECE_WORDS})))")
+    """(item_id, n, size, codes, fp, item_key) of each item with a word; equal items share their key."""
     t = (benchmark.select(F.col(id_col).cast("long").alias("item_id"), word_hashes(F.col(text_col)).alias("h"))
-         .where("size(h) > 0").select("item_id", piece.alias("h"))
+         .where("size(h) > 0")
          .withColumn("n", F.size("h")).withColumn("size", F.least(F.lit(SHINGLE), F.col("n"))))
     codes = F.when(F.col("size") == SHINGLE, shingles("h", SHINGLE))
     for k in range(1, SHINGLE):
@@ -125,11 +127,10 @@ def windows(texts: DataFrame, hits: DataFrame, sizes: list[int], percent: int) -
             .select("key", "n", "start", F.expr("slice(all, start + 1, c)").alias("codes")))
 
 
-def _common(x: str, y: str) -> str:
-    """SQL: sum over codes of the smaller multiplicity."""
-    return (f"if(size(array_distinct({x})) = size({x}) and size(array_distinct({y})) = size({y}), "
-            f"size(array_intersect({x}, {y})), aggregate(array_distinct({y}), 0, (a, v) -> a + "
-            f"least(size(filter({x}, u -> u = v)), size(filter({y}, u -> u = v)))))")
+def _common(x: str, y: str, repeats: str) -> str:
+    """SQL: sum over codes of the smaller multiplicity; ``repeats`` are the codes of y that occur c > 1 times."""
+    return (f"size(array_intersect({x}, {y})) + aggregate(coalesce({repeats}, array()), 0, (a, r) -> a + "
+            f"greatest(least(size(filter({x}, u -> u = r.code)), int(r.c)) - 1, 0))")
 
 
 def matches(found: DataFrame, bench: DataFrame, percent: int) -> DataFrame:
@@ -143,11 +144,15 @@ def matches(found: DataFrame, bench: DataFrame, percent: int) -> DataFrame:
          .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("v", F.expr(_block("fp", "b"))))
     earlier = " or ".join(f"(b > {i} and bit_count({_block('(fp ^ item_fp)', str(i))}) <= {RADIUS // BLOCKS})"
                           for i in range(BLOCKS - 1))
-    both = _common("codes", "item_codes")
+    repeats = (bench.select("item_key", "codes").distinct().select("item_key", F.explode("codes").alias("code"))
+               .groupBy("item_key", "code").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+               .groupBy("item_key").agg(F.collect_list(F.struct("code", "c")).alias("repeats")))
+    known = bench.select("item_id", "item_key", F.col("codes").alias("item_codes")).join(repeats, "item_key", "left")
+    both = _common("codes", "item_codes", "repeats")
     return (w.join(small_side(materialise(probes, "probes")), ["n", "b", "v"])
             .withColumn("hamming", F.expr("bit_count(fp ^ item_fp)"))
             .where(f"hamming <= {RADIUS} and not ({earlier})")  # a pair found by several blocks counts once
-            .join(bench.select("item_id", "item_key", F.col("codes").alias("item_codes")), "item_key")
+            .join(known, "item_key")
             .withColumn("common", F.expr(both))
             .withColumn("union", F.expr("size(codes) + size(item_codes) - common"))
             .where(f"common > 0 and common * 100 >= {percent} * union")

@@ -155,6 +155,30 @@ def test_decontamination_equals_brute_force(spark, prose):
         {k: round(v, 9) for k, v in leaks_of(docs, bench).items()}
 
 
+def test_long_items_are_compared_whole(spark, prose):
+    bench = [(1, prose(1900, 201) + " tail" * 101), (2, prose(5000, 202))]
+    docs = [(1, "three words tail"), (2, prose(300, 203) + " tail"), (6, bench[0][1])]
+    for d, (_, text) in enumerate(bench):
+        w = text.split()
+        some = [f"x{i}" if i % 250 == 99 else v for i, v in enumerate(w)]   # above 0.9
+        docs += [(10 + d, " ".join(["before"] * 5 + some + ["after"] * 3)),
+                 (30 + d, " ".join(w[:2000 * (d + 1) - 1000]))]             # less than the item
+    docs.append((20, " ".join(f"x{i}" if i % 30 == 9 else v for i, v in enumerate(bench[0][1].split()))))  # below 0.8
+    want = leaks_of(docs, bench)
+    assert set(want) == {(6, 1), (10, 1), (11, 2)}
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench_df = spark.createDataFrame(bench, "item_id long, text string")
+    got = D.contaminated(docs_df, bench_df).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert D.clean(docs_df, bench_df).count() == len(docs) - 3
+
+
+def test_fingerprints_of_wide_counters_are_the_same(spark):
+    codes = spark.range(40).selectExpr("transform(sequence(1, 50 + 7 * id), i -> xxhash64(i, id)) as codes")
+    both = codes.selectExpr(D._majority("codes", 16) + " as a", D._majority("codes", 32) + " as b").collect()
+    assert all(r.a == r.b for r in both) and len({r.a for r in both}) == 40
+
+
 def test_every_fingerprint_within_the_radius_shares_a_probed_block():
     rng = np.random.default_rng(1)
     for _ in range(2000):
