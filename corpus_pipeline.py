@@ -15,8 +15,13 @@ from netsieve.llm.storage import materialise, small_side
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the additive model rejects (score under its threshold) go."""
+    """Documents the additive model rejects (score under its threshold) go.
+
+    All stay if the labels of these documents are none or all the same: such a model is constant and rejects nothing.
+    """
     model = op8_quality_gam.train(docs, table(spark, sf_dir, "labels"))
+    if model["constant"] is not None:
+        return docs
     carry = [c for c in docs.columns if c != "text"] + ["text"]
     scored = op8_quality_gam.scored(docs, model, carry, score="_quality")
     return scored.where(F.col("_quality") >= op8_quality_gam.THRESHOLD).select(docs.columns)

@@ -315,3 +315,13 @@ def test_pipeline_stages(spark):
     digests = P.STAGES[-1][1](spark, now, sf).collect()
     assert sorted(r.doc_id for r in digests) == sorted(ids[4])
     assert os.path.exists(P.__file__) and P.ORACLE_SQL is None
+
+
+def test_quality_stage_keeps_all_documents_without_usable_labels(spark, tmp_path):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    for name, some in (("none", labels.limit(0)), ("other", labels.withColumn("doc_id", -1 - labels.doc_id))):
+        some.write.parquet(str(tmp_path / name / "labels.parquet"))
+        kept = corpus_pipeline.quality_classifier(spark, docs, str(tmp_path / name))
+        assert kept.columns == docs.columns and kept.count() == docs.count()
