@@ -99,3 +99,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netsieve.llm.op3_language_id import identify
     return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op11_sentencepiece")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netsieve.llm.op11_sentencepiece import digests
+    return digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
