@@ -105,3 +105,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netsieve.llm.op11_sentencepiece import digests
     return digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netsieve.llm.op12_periodic_runs import run_report
+    return run_report(table(spark, sf_dir, "documents"))

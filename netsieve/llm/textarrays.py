@@ -23,6 +23,7 @@ _BYTES = np.arange(256)
 #: True for the bytes that separate words: space and \t \n \v \f \r.
 WHITE = np.isin(_BYTES, (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D))
 _FOLDED = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)
+_FOLDED_BYTE = _FOLDED.astype(np.uint8)
 #: True for every byte that is not part of a run of letters.
 NOT_LETTER = ~(((_FOLDED >= 97) & (_FOLDED <= 122)) | (_BYTES >= 128))
 
@@ -117,6 +118,27 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.
     return mix64(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def span_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> tuple[np.ndarray, pa.Array]:
+    """(number of each span among the distinct ones, the distinct spans): equal numbers mean equal bytes.
+
+    Spans are in order and do not overlap.  ``folded`` reads A-Z as a-z.
+    """
+    size = ends - starts
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)))
+    data = buf
+    if offsets[-1] != len(buf):
+        step = np.zeros(len(buf) + 1, np.int8)
+        step[starts] += 1
+        step[ends] -= 1
+        data = buf[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    if folded:
+        data = _FOLDED_BYTE[data]
+    spans = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
 def shingle_sets(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct word shingles of each text: (sorted 52-bit hashes, text index of each).
 
