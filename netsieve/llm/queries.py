@@ -111,3 +111,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netsieve.llm.op12_periodic_runs import run_report
     return run_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netsieve.llm.op13_conversation_repair import audits, damaged
+    return audits(damaged(table(spark, sf_dir, "conversations")))
