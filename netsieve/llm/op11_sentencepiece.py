@@ -10,9 +10,10 @@ unknown id for each run of them.
 
 A text is cut before a space mark that follows another character when the
 vocabulary proves that no merge spans that place (no piece has a space mark
-after another character).  Merges of different stretches never touch, so each
+after another character), and around ASCII characters in no piece, such as
+line ends.  Merges of different stretches never touch, so each
 distinct stretch, compared as a string, is merged once per worker and kept in
-a bounded table.  Other vocabularies are merged over the whole text.
+two bounded tables, a young and an old one.  Other vocabularies are merged over the whole text.
 
 Every Arrow batch is checked against the sentencepiece library: ``agrees`` is
 true when it gives the same ids and decodes them to the same text.
@@ -26,9 +27,10 @@ user-defined or unused pieces, a character map or space trimming, raise.
 from __future__ import annotations
 
 import re
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +39,16 @@ from netsieve.llm.storage import map_arrow
 
 SPACE = "▁"
 UNKNOWN_TEXT = " ⁇ "
-MEMO_STRETCHES = 500_000
+MEMO_STRETCHES = 400_000
 #: Longer stretches are merged each time: the table stays small.
 MEMO_CHARS = 64
 BATCH_CHARS = 1 << 20
-_STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Stretches up to here keep their agenda in a list instead of a heap.
+SHORT_CHARS = 40
+_NO_PAIR = 1 << 40
+_GONE = -1
+#: Characters in no piece are numbered downwards from here, so far below zero that no pair with them is a key.
+_FIRST_LONE = -(1 << 60)
 
 
 class Pieces:
@@ -74,49 +81,102 @@ class Pieces:
                  for i, p in enumerate(self.names)]
         self.bytes_of = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(shown)]
         self.separable = SPACE in self.ids and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
+        self.symbol = dict(self.ids)   # characters that only occur inside pieces get numbers past the vocabulary
+        self.inner = {}
+        for c in sorted(set("".join(self.ids)) - set(self.ids)):
+            self.symbol[c] = len(self.names) + len(self.inner)
+            self.inner[self.symbol[c]] = c
+        lone = re.escape("".join(c for c in map(chr, range(128)) if c not in self.symbol))   # no merge touches them
+        self.stretch = re.compile(f"[{lone}]|{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+" if lone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.width = len(self.names) + len(self.inner)
+        self.pair_rank, self.pair_made = self._pair_tables()
         self._memo: dict[str, list[int]] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """The symbols left when the agenda is empty, in order."""
-        n, rank = len(text), self.rank
-        symbol, before, after = list(text), list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(rank[text[i:i + 2]], i, i + 1, 2) for i in range(n - 1) if text[i:i + 2] in rank]
-        heapify(agenda)
+        self._old: dict[str, list[int]] = {}
+
+    def _pair_tables(self) -> tuple[dict[int, int], dict[int, int]]:
+        """Numbers of two adjacent symbols, as one key -> agenda rank, and -> number of the symbol they merge into."""
+        rank, made = {}, {}
+        for piece, i in self.ids.items():
+            for cut in range(1, len(piece)):
+                left, right = self.symbol.get(piece[:cut]), self.symbol.get(piece[cut:])
+                if left is not None and right is not None:
+                    key = left * self.width + right
+                    rank[key], made[key] = self.rank[piece], i
+        return rank, made
+
+    def _short(self, symbol: list[int]) -> list[int]:
+        """Merges of a few symbols: the agenda is a list beside them, searched for its first least rank."""
+        rank, made, width = self.pair_rank.get, self.pair_made, self.width
+        agenda = [rank(a * width + b, _NO_PAIR) for a, b in zip(symbol, symbol[1:])]
         while agenda:
-            _, a, b, size = heappop(agenda)
-            if not symbol[a] or not symbol[b] or len(symbol[a]) + len(symbol[b]) != size:
-                continue
-            symbol[a] += symbol[b]
-            symbol[b] = ""
+            best = min(agenda)
+            if best == _NO_PAIR:
+                break
+            i = agenda.index(best)
+            new = symbol[i] = made[symbol[i] * width + symbol[i + 1]]
+            del symbol[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(new * width + symbol[i + 1], _NO_PAIR)
+            if i:
+                agenda[i - 1] = rank(symbol[i - 1] * width + new, _NO_PAIR)
+        return symbol
+
+    def _long(self, symbol: list[int]) -> list[int]:
+        """Merges of many symbols: the agenda is a heap of (rank, place of the left symbol)."""
+        n, width = len(symbol), self.width
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        agenda = []
+
+        def offer(a: int, b: int) -> None:
+            key = symbol[a] * width + symbol[b]
+            if key in self.pair_rank:
+                heappush(agenda, (self.pair_rank[key], a, key))
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while agenda:
+            _, a, key = heappop(agenda)
+            b = after[a]
+            if b >= n or symbol[a] * width + symbol[b] != key:
+                continue               # a symbol has changed since
+            symbol[a], symbol[b] = self.pair_made[key], _GONE
             c = after[a] = after[b]
             if c < n:
                 before[c] = a
-            for left, right in ((before[a], a), (a, c)):
-                if left >= 0 and right < n:
-                    both = symbol[left] + symbol[right]
-                    if both in rank:
-                        heappush(agenda, (rank[both], left, right, len(both)))
-        return [s for s in symbol if s]
-
-    def _stretch(self, text: str) -> list[int]:
+                offer(a, c)
+            if before[a] >= 0:
+                offer(before[a], a)
+        return [s for s in symbol if s != _GONE]
+
+    def merged(self, text: str) -> list[int]:
+        """Ids of the symbols left when the agenda is empty, in order."""
+        lone = self.lone
+        symbol = [self.symbol.get(c) or lone(c) for c in text]
+        left = self._short(symbol) if len(text) <= SHORT_CHARS else self._long(symbol)
+        if min(left) >= 0 and max(left) < len(self.names):
+            return left
         out: list[int] = []
-        for s in self.merged(text):
-            if s in self.ids:
-                out.append(self.ids[s])
-            elif self.byte_id:
-                out.extend(self.byte_id[b] for b in s.encode())
-            else:
-                out.append(self.unknown)
+        for s in left:
+            out.extend((s,) if 0 <= s < len(self.names) else self._unlisted(s))
         return out
 
-    def _known(self, stretch: str) -> list[int]:
-        ids = self._memo.get(stretch)
+    def lone(self, c: str) -> int:
+        """A negative number for a character in no piece: it merges with nothing."""
+        return self.symbol.get(c, _FIRST_LONE - ord(c))
+
+    def _unlisted(self, s: int) -> list[int]:
+        """Ids of a character that is no piece."""
+        c = chr(_FIRST_LONE - s) if s < 0 else self.inner[s]
+        return [self.byte_id[b] for b in c.encode()] if self.byte_id else [self.unknown]
+
+    def _learn(self, stretch: str) -> list[int]:
+        """Ids of a stretch that the young table lacks; stretches still in use move over from the old one."""
+        ids = self._old.get(stretch)
         if ids is None:
-            ids = self._stretch(stretch)
-            if len(stretch) <= MEMO_CHARS:
-                if len(self._memo) >= MEMO_STRETCHES:
-                    self._memo.clear()
-                self._memo[stretch] = ids
+            ids = self.merged(stretch)
+        if len(stretch) <= MEMO_CHARS:
+            if len(self._memo) >= MEMO_STRETCHES:
+                self._old, self._memo = self._memo, {}
+            self._memo[stretch] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -124,9 +184,13 @@ class Pieces:
             return []
         marked = self.prefix + text.replace(" ", SPACE)
         if not self.separable:
-            ids = self._stretch(marked)
+            ids = self.merged(marked)
         else:
-            ids = list(chain.from_iterable(map(self._known, _STRETCH.findall(marked))))
+            stretches = self.stretch.findall(marked)
+            known = list(map(self._memo.get, stretches))
+            if not all(known):
+                known = [ids or self._learn(s) for ids, s in zip(known, stretches)]
+            ids = list(chain.from_iterable(known))
         if self.byte_id or self.unknown not in ids:
             return ids
         return [i for k, i in enumerate(ids) if i != self.unknown or k == 0 or ids[k - 1] != self.unknown]
@@ -195,6 +259,11 @@ def _runs(texts: list[str]):
         yield lo, len(texts)
 
 
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))))
+
+
 def _encode_rows(path: str):
     def run(batches):
         model = pieces(path)
@@ -210,7 +279,7 @@ def _encode_rows(path: str):
                     again = model.library.decode(library, num_threads=1)
                     same = [a == b for a, b in zip(decoded, again)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())),
+                    [batch.column(0).slice(lo, hi - lo), _lists(ids),
                      pa.array(decoded, pa.string()), pa.array(same, pa.bool_())],
                     names=["doc_id", "ids", "decoded", "agrees"])
     return run
