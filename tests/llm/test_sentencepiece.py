@@ -30,6 +30,21 @@ def test_merging_whole_texts_equals_merging_stretches(prose):
         assert m.encode(text) == whole.encode(text) == m.library.encode(text)
 
 
+def test_the_check_finds_a_wrong_merge(prose):
+    m = S.Pieces(MODEL)
+    texts = [prose(40, k) + "\n" + prose(5, 90 + k) + "  é▁x \n\n y " for k in range(20)]
+    decoded = [m.decode(m.encode(t)) for t in texts]
+    m.check_fresh()
+    assert not m.differing and all(m.agrees(t, d) for t, d in zip(texts, decoded))
+    for after_line_end in (False, True):
+        m = S.Pieces(MODEL)
+        word = "internationality" if after_line_end else "▁internationality"
+        m.pair_rank = {k: -r for k, r in m.pair_rank.items()}
+        text = "\ninternationality" if after_line_end else "internationality"
+        m.encode(text), m.check_fresh()
+        assert m.differing == {word} and not m.agrees(text, text) and m.agrees("y", "y") and not m.agrees("y", "z")
+
+
 def test_models_of_other_kinds_are_refused(monkeypatch):
     with pytest.raises((OSError, RuntimeError, ValueError)):
         S.Pieces(tokenizer_path("word_bpe_49k.json"))
