@@ -38,9 +38,9 @@ def test_the_check_finds_a_wrong_merge(prose):
     assert not m.differing and all(m.agrees(t, d) for t, d in zip(texts, decoded))
     for after_line_end in (False, True):
         m = S.Pieces(MODEL)
-        word = "internationality" if after_line_end else "▁internationality"
+        word = "quickly" if after_line_end else "▁quickly"
         m.pair_rank = {k: -r for k, r in m.pair_rank.items()}
-        text = "\ninternationality" if after_line_end else "internationality"
+        text = "\nquickly" if after_line_end else "quickly"
         m.encode(text), m.check_fresh()
         assert m.differing == {word} and not m.agrees(text, text) and m.agrees("y", "y") and not m.agrees("y", "z")
 
