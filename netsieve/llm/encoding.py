@@ -2,7 +2,7 @@
 
 A byte-pair tokenizer splits a text into pre-tokens before any merge, so a
 text cut only where its pre-tokenizer always splits gives the same ids piece
-by piece.  Two such rules are recognised from the tokenizer file:
+by piece.  Pieces are told apart by their bytes.  Two such rules are recognised from the tokenizer file:
 
 ``white``  the pre-tokens are matches that never contain white space: cut at
            every run of ASCII white space;
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -25,7 +26,7 @@ from netsieve.llm import textarrays as T
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 500_000
 #: First bytes of the UTF-8 characters that Unicode counts as white space.
 _WIDE_SPACE = np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
 _MATCHED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -63,8 +64,8 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.keys = np.empty(0, np.uint64)
-        self.at = np.empty(0, np.int64)      # of each key's first id in self.ids
+        self.known: dict[bytes, int] = {}    # row of each piece in the two arrays below
+        self.at = np.empty(0, np.int64)      # of each piece's first id in self.ids
         self.size = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
@@ -97,9 +98,8 @@ class Encoder:
             got = self.whole([bytes(t.buf[a:b]).decode() for a, b in zip(t.offsets, t.offsets[1:])])
             return (np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64))
         starts, ends, first = self._pieces(t)
-        h = T.span_hashes(t.buf, starts, ends, T.EXACT_CODE)
-        kinds, example, which = np.unique(h, return_index=True, return_inverse=True)
-        at, size = self._known(kinds, t.buf, starts[example], ends[example])
+        which, distinct = T.span_codes(t.buf, starts, ends)
+        at, size = self._known(distinct.to_pylist())
         count = size[which]
         total = int(count.sum())
         before = np.cumsum(count) - count
@@ -107,25 +107,22 @@ class Encoder:
         upto = np.concatenate((before, [total]))
         return ids, upto[first[1:]] - upto[first[:-1]]
 
-    def _known(self, kinds, buf, starts, ends):
+    def _known(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of ids of each distinct piece, encoding those not seen before."""
-        if len(self.keys) + len(kinds) > MEMO_PIECES or len(self.ids) > 8 * MEMO_PIECES:
+        if len(self.known) + len(pieces) > MEMO_PIECES or len(self.ids) > 8 * MEMO_PIECES:
             self._forget()
-        where = np.searchsorted(self.keys, kinds)
-        hit = np.zeros(len(kinds), bool)
-        ok = where < len(self.keys)
-        hit[ok] = self.keys[where[ok]] == kinds[ok]
-        new = np.flatnonzero(~hit)
+        row = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(row < 0)
         if len(new):
-            got = self.whole([bytes(buf[a:b]).decode() for a, b in zip(starts[new], ends[new])])
-            size = np.fromiter((len(g) for g in got), np.int64, len(got))
+            fresh = [pieces[i] for i in new.tolist()]
+            got = self.whole([p.decode() for p in fresh])
+            size = np.fromiter(map(len, got), np.int64, len(got))
             at = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.uint32)])
-            place = where[new]
-            self.keys = np.insert(self.keys, place, kinds[new])
-            self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, size)
-            where = np.searchsorted(self.keys, kinds)
-        return self.at[where], self.size[where]
+            row[new] = len(self.at) + np.arange(len(new))
+            self.known.update(zip(fresh, row[new].tolist()))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
+            self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
+        return self.at[row], self.size[row]
 
 
 _encoders: dict[str, Encoder] = {}

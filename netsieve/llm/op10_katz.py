@@ -80,7 +80,7 @@ def _shard_rows(folder: str):
         for batch in batches:
             for lo, t in T.slices(batch.column(2)):
                 w = T.words(t)
-                h = T.word_hashes(t, w)
+                h = T.exact_word_hashes(t, w)
                 n = len(t.offsets) - 1
                 count = np.diff(w.first)
                 tokens = np.empty(len(h) + n, np.uint64)

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netsieve.llm.storage import materialise, small_side
+from netsieve.llm.storage import materialise, small_side, unused_name
 
 SHINGLE, PERCENT = 5, 80
 RADIUS, BLOCKS, BLOCK_BITS = 15, 4, 16
@@ -188,6 +188,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, text_col: str = "text") -> DataFrame:
-    """The documents without a benchmark item, columns as given."""
-    found = materialise(leaks(docs, benchmark, percent, text_col).select(F.col("key").alias("_text_key")).distinct(), "leak-keys")
-    return _keyed(docs, text_col).join(small_side(found), "_text_key", "left_anti").select(docs.columns)
+    """The documents without a benchmark item, columns as given (a NULL text holds none)."""
+    key = unused_name(docs, "text_key")
+    found = materialise(leaks(docs, benchmark, percent, text_col).select(F.col("key").alias(key)).distinct(), "leak-keys")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(text_col)))
+    return keyed.join(small_side(found), key, "left_anti").select(docs.columns)

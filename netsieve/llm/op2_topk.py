@@ -17,7 +17,8 @@ ties to the smaller id.  The driver holds d x d sums and one number a block.
 
 Defined cases: vectors that are NULL or hold a NULL, NaN or infinite
 component, and NULL ids, take no part; shorter vectors count as padded with
-zeros; components beyond +-2**20 count as that bound; rows that repeat an id
+zeros; a scaled component or a score beyond 64 bits is an error (it has no
+integer to return); rows that repeat an id
 are candidates each, and never of a query with that id; fewer candidates than
 k give fewer ranks; an empty table gives an empty result.
 """
@@ -34,15 +35,16 @@ from netsieve.llm.storage import map_arrow, materialise, tasks
 
 BLOCK, QUERY_BLOCK, CHUNK = 2048, 512, 256
 LEADING = (8, 24)
-SCALE, BOUND = 256, 1 << 28
+SCALE = 256
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v): floor(256 x) per component; unusable rows dropped as documented."""
     ok = (F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(vec_col, lambda x: F.coalesce(
         ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False))))
-    scaled = F.transform(vec_col, lambda x: F.floor(F.greatest(F.lit(-float(BOUND)), F.least(
-        F.lit(float(BOUND)), x.cast("double") * SCALE))).cast("long"))
+    scaled = F.transform(vec_col, lambda x: F.when(
+        F.abs(x.cast("double") * SCALE) < float(1 << 63), F.floor(x.cast("double") * SCALE).cast("long")).otherwise(
+        F.raise_error(F.lit("a vector component times 256 is beyond 64 bits")).cast("long")))
     return df.where(ok).select(F.col(id_col).cast("long").alias("id"), scaled.alias("v"))
 
 
@@ -67,7 +69,7 @@ def _gram_rows(d: int):
     return run
 
 
-def _block_rows(d: int, size: int):
+def _block_rows(d: int, size: int, kind: str):
     def run(batches):
         part, seq, ids, mats, held = TaskContext.get().partitionId(), 0, [], [], 0
 
@@ -77,7 +79,7 @@ def _block_rows(d: int, size: int):
             top = float((m.astype(np.float64) ** 2).sum(1).max())
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([top]),
-                 pa.array([i.tobytes()], pa.binary()), pa.array([m.astype(np.int32).tobytes()], pa.binary())],
+                 pa.array([i.tobytes()], pa.binary()), pa.array([m.astype(kind).tobytes()], pa.binary())],
                 names=["part", "seq", "top", "ids", "m"])
             seq += 1
             return row
@@ -109,6 +111,17 @@ def _best(qi, vid, score, k):
     return qi[keep], vid[keep], score[keep]
 
 
+def _scores(a, b, reach) -> np.ndarray:
+    """Integer inner products of rows, exact; ``reach`` bounds their size."""
+    out = np.einsum("ij,ij->i", a, b)
+    for i in np.flatnonzero(reach >= float(1 << 62)).tolist():
+        exact = sum(x * y for x, y in zip(a[i].tolist(), b[i].tolist()))
+        if not -(1 << 63) <= exact < 1 << 63:
+            raise OverflowError("an inner product is beyond 64 bits")
+        out[i] = exact
+    return out
+
+
 def _scan(q, qid, v, vid, thr, rotation, k):
     """Exact k best of one block for each query, given a lower bound of its k-th best score."""
     rq, rv = q @ rotation, v @ rotation
@@ -131,7 +144,7 @@ def _scan(q, qid, v, vid, thr, rotation, k):
         bound = np.einsum("ij,ij->i", rq[qi, :p], rv[vi, :p]) + tails_q[1][qi] * tails_v[1][vi] + slack
         keep = (bound >= thr[qi]) & (qid[qi] != vid[vi])
         qi, vi = qi[keep], vi[keep]
-        score = np.einsum("ij,ij->i", q[qi].astype(np.int64), v[vi].astype(np.int64))
+        score = _scores(q[qi].astype(np.int64), v[vi].astype(np.int64), nq[qi] * nv[vi])
         best = _best(*(np.concatenate(x) for x in zip(best, (qi, vid[vi], score))), k)
         full = np.bincount(best[0], minlength=len(q)) == k
         last = np.searchsorted(best[0], np.arange(len(q)), "right") - 1
@@ -139,14 +152,14 @@ def _scan(q, qid, v, vid, thr, rotation, k):
     return best
 
 
-def _pair_rows(rotation: np.ndarray, k: int):
+def _pair_rows(rotation: np.ndarray, k: int, kind: str):
     d = len(rotation)
 
     def run(batches):
         for batch in batches:
             for x in batch.to_pylist():
                 qid, vid = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["vids"], np.int64)
-                q, v = (np.frombuffer(x[c], np.int32).reshape(-1, d) for c in ("m", "vm"))
+                q, v = (np.frombuffer(x[c], kind).reshape(-1, d) for c in ("m", "vm"))
                 thr = np.frombuffer(x["thr"], np.float64) if x["thr"] is not None else np.full(len(q), -np.inf)
                 qi, vi, score = _scan(q, qid, v, vid, thr, rotation, k)
                 yield pa.RecordBatch.from_arrays(
@@ -158,13 +171,13 @@ def _pair_rows(rotation: np.ndarray, k: int):
 _PAIR_SCHEMA = "qb long, qi long, query_id long, vec_id long, score long"
 
 
-def _threshold_rows(k: int, d: int):
-    """Add to each query block its k-th best so far (as bytes) and the shortest vector length that can matter."""
+def _threshold_rows(d: int, kind: str, lengths: np.ndarray):
+    """Add to each query block its k-th best so far (as bytes) and how many of the blocks, longest first, can matter."""
     def run(batches):
         for batch in batches:
-            thr, need = [], []
+            thr, reach = [], []
             for x in batch.to_pylist():
-                m = np.frombuffer(x["m"], np.int32).reshape(-1, d).astype(np.float64)
+                m = np.frombuffer(x["m"], kind).reshape(-1, d).astype(np.float64)
                 t = np.full(len(m), -np.inf)
                 for e in x["seen"] or []:
                     t[e["qi"]] = e["s"]
@@ -172,10 +185,11 @@ def _threshold_rows(k: int, d: int):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     least = np.where(t <= 0, 0.0, t / norm)
                 thr.append(t.tobytes())
-                need.append(float(np.min(least, initial=np.inf)) * (1 - 1e-9))
+                need = float(np.min(least, initial=np.inf)) * (1 - 1e-9)
+                reach.append(int(np.searchsorted(-lengths, -need, "right")))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("qb", "ids", "m")), pa.array(thr, pa.binary()), pa.array(need, pa.float64())],
-                names=["qb", "ids", "m", "thr", "need"])
+                [*(batch.column(c) for c in ("qb", "ids", "m")), pa.array(thr, pa.binary()), pa.array(reach, pa.int64())],
+                names=["qb", "ids", "m", "thr", "reach"])
     return run
 
 
@@ -183,10 +197,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score for (id, v) integer vectors, see ``quantised``."""
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score long"
-    d = vectors.select(F.max(F.size("v"))).first()[0]
+    largest = F.greatest(F.abs(F.array_max("v").cast("double")), F.abs(F.array_min("v").cast("double")))
+    d, top = vectors.select(F.max(F.size("v")), F.max(largest)).first()
     if not d or queries.limit(1).count() == 0:
         return spark.createDataFrame([], empty)
-    d = max(d, queries.select(F.max(F.size("v"))).first()[0])
+    wide, high = queries.select(F.max(F.size("v")), F.max(largest)).first()
+    d, kind = max(d, wide), "<i4" if max(top or 0, high or 0) < 1 << 31 else "<i8"
     gram = np.zeros(d * d)
     for i, g in map_arrow(vectors.select("v"), _gram_rows(d), "i long, g double").groupBy("i").agg(F.sum("g")).collect():
         gram[i] = g
@@ -195,9 +211,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     by_length = (vectors.withColumn("n", length).repartitionByRange(tasks(spark), F.desc("n"), "id")
                  .sortWithinPartitions(F.desc("n"), "id").select("id", "v"))
-    blocks = materialise(map_arrow(by_length, _block_rows(d, BLOCK), _BLOCK_SCHEMA), "vector-blocks")
+    blocks = materialise(map_arrow(by_length, _block_rows(d, BLOCK, kind), _BLOCK_SCHEMA), "vector-blocks")
     packed = materialise(map_arrow(queries.repartition(tasks(spark), "id").sortWithinPartitions("id"),
-                                   _block_rows(d, QUERY_BLOCK), _BLOCK_SCHEMA), "query-blocks")
+                                   _block_rows(d, QUERY_BLOCK, kind), _BLOCK_SCHEMA), "query-blocks")
     # One number a block, in length order: the position of a block is its number.
     order = sorted(blocks.select("part", "seq", "top").collect(), key=lambda r: (r.part, r.seq))
     at = spark.createDataFrame([(r.part, r.seq, i) for i, r in enumerate(order)], "part long, seq long, vb long")
@@ -207,21 +223,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     pair = ["qb", "ids", "m", "thr", "vids", "vm"]
     first = packed.withColumn("thr", F.lit(None).cast("binary")).withColumn("vb", F.explode(F.array(F.lit(0).cast("long"))))
     # The longest block is one row of at most BLOCK vectors.
-    seeds = map_arrow(first.join(F.broadcast(blocks.where("vb = 0")), "vb").select(pair), _pair_rows(rotation, k), _PAIR_SCHEMA)
+    seeds = map_arrow(first.join(F.broadcast(blocks.where("vb = 0")), "vb").select(pair), _pair_rows(rotation, k, kind), _PAIR_SCHEMA)
     kth = (seeds.groupBy("qb", "qi").agg(F.min("score").cast("double").alias("s"), F.count(F.lit(1)).alias("c"))
            .where(F.col("c") == k).groupBy("qb").agg(F.collect_list(F.struct("qi", "s")).alias("seen")))
+    lengths = np.sqrt([r.top for r in order])
     bounded = materialise(map_arrow(packed.join(kth, "qb", "left").select("qb", "ids", "m", "seen"),
-                                    _threshold_rows(k, d), "qb long, ids binary, m binary, thr binary, need double"),
+                                    _threshold_rows(d, kind, lengths), "qb long, ids binary, m binary, thr binary, reach long"),
                           "query-bounds")
-    tops = F.array(*[F.lit(float(np.sqrt(r.top))) for r in order]) if len(order) <= 1000 else None
-    if tops is not None:
-        reach = F.size(F.filter(tops, lambda t: t >= F.col("need")))
-        grid = bounded.where(reach > 0).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), (reach - 1).cast("long"))))
-    else:
-        top = spark.createDataFrame([(i, float(np.sqrt(r.top))) for i, r in enumerate(order)], "vb long, top double")
-        grid = (bounded.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(order) - 1).cast("long"))))
-                .join(top, "vb").where("top >= need"))
-    found = map_arrow(grid.join(blocks, "vb").select(pair), _pair_rows(rotation, k), _PAIR_SCHEMA)
+    grid = bounded.where("reach > 0").withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("reach") - 1)))
+    found = map_arrow(grid.join(blocks, "vb").select(pair), _pair_rows(rotation, k, kind), _PAIR_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -107,12 +107,18 @@ def _draw(pop: str, mine: str, draws: str, u: str) -> str:
             f"s -> {pick}), 1)")
 
 
+#: Levels of the splitting tree that one task makes: 2**SPREAD_LEVEL subtrees.
+SPREAD_LEVEL = 5
+
+
 def quotas(units: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(shard, mix_rank, quota): the leaves of the splitting tree over (mix_rank, units) rows."""
     node = units.agg(F.array_sort(F.collect_list(F.struct("mix_rank", F.col("units").alias("c")))).alias("have"))
     node = node.select("have", F.lit(0).alias("lo"), F.lit(shards).alias("hi"))
     depth = max(shards - 1, 0).bit_length()
-    for _ in range(depth):
+    for level in range(depth):
+        if level == SPREAD_LEVEL:      # from here on the subtrees go to separate tasks
+            node = node.repartition(F.col("lo"))
         half = "floor((hi - lo + 1) / 2)"
         u = (f"(conv(substring(md5(concat_ws(':', '{SEED}', lo, hi, x.mix_rank)), 1, 13), 16, 10)"
              f" / {float(16 ** 13)}D)")
@@ -151,8 +157,8 @@ def block_plan(keyed: DataFrame, shards: int = SHARDS, weights=WEIGHTS, budget:
     b = (blocks.join(goal, src).withColumn("perm", perm)
          .withColumn("before", F.coalesce(F.sum("block_words").over(
              order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-         .withColumn("whole", F.col("before") + F.col("block_words") <= F.col("rest"))
-         .withColumn("divided", ~F.col("whole") & (F.col("before") <= F.col("rest"))))
+         .withColumn("whole", (F.col("rest") > 0) & (F.col("before") + F.col("block_words") <= F.col("rest")))
+         .withColumn("divided", ~F.col("whole") & (F.col("rest") > 0) & (F.col("before") <= F.col("rest"))))
     b = materialise(b, "mix-order")
     # In the divided blocks (one a source, about BLOCK_DOCS documents): the last key taken.
     divided = b.where("divided").select(*src, "mix_block", "before", "rest")
@@ -200,18 +206,26 @@ def deal(rows: DataFrame, plan: DataFrame) -> DataFrame:
             .drop("deal", "mix_deal", "passes", "whole", "cutoff", *on, "mix_key"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        shards: int | None = None, block_docs: int = BLOCK_DOCS, weights=WEIGHTS, budget: float = BUDGET,
-        limit: int = LIMIT) -> DataFrame:
-    """The mix: every taken copy of a row of ``docs``, with mix_shard, mix_copy and mix_order.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          shards: int | None = None, block_docs: int = BLOCK_DOCS, weights=WEIGHTS, budget: float = BUDGET,
+          limit: int = LIMIT) -> DataFrame:
+    """The mix: every taken copy of a row of ``docs`` as a struct ``mix_row``, with mix_shard, mix_copy and mix_order.
 
-    To write shards: ``repartition("mix_shard").sortWithinPartitions("mix_order")``.
+    To write shards: ``repartition("mix_shard").sortWithinPartitions("mix_order").select("mix_row.*")``.
     """
     blocks = block_count(docs, block_docs)
     shards = shards or shard_count(docs, block_docs)
     keyed = keyed_sizes(docs, id_col, text_col, source_col, blocks)
     plan = small_side(materialise(block_plan(keyed, shards, weights, budget, limit), "mix-plan"))
-    return deal(docs.withColumns(_keys(docs, id_col, text_col, source_col, blocks)), plan)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row")
+    keys = _keys(docs, id_col, text_col, source_col, blocks)
+    return deal(docs.select(row, *[c.alias(n) for n, c in keys.items()]), plan)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``mixed`` with the rows' own columns; those named mix_shard, mix_copy or mix_order give way to the mix's."""
+    own = [F.col(f"mix_row.`{c}`") for c in docs.columns if c.lower() not in ("mix_shard", "mix_copy", "mix_order")]
+    return mixed(docs, **options).select(*own, "mix_shard", "mix_copy", "mix_order")
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

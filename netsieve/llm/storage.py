@@ -35,6 +35,14 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def unused_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until no column of ``df`` has that name (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def tasks(spark: SparkSession) -> int:
     """Shuffle partitions of the session: how many ways work is dealt out."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,6 +8,7 @@ their bytes; separators are ASCII, so UTF-8 sequences are never cut.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from typing import NamedTuple
 
@@ -105,10 +106,22 @@ def words(t: Texts, separator: np.ndarray = WHITE) -> Words:
 
 
 def word_hashes(t: Texts, w: Words, code: np.ndarray = FOLDED_CODE) -> np.ndarray:
-    """64-bit hash of each word's bytes: differences of one running polynomial sum."""
+    """64-bit hash of each word's bytes: differences of one running polynomial sum (see ``exact_word_hashes``)."""
     return span_hashes(t.buf, w.starts, w.ends, code)
 
 
+def exact_word_hashes(t: Texts, w: Words) -> np.ndarray:
+    """64 bits of a cryptographic digest of each word, A-Z as a-z; each distinct word of the slice is digested once.
+
+    For results that must be exact: ``span_hashes`` is a polynomial modulo
+    2**64, which gives some pairs of very long words the same value.
+    """
+    which, distinct = span_codes(t.buf, w.starts, w.ends, folded=True)
+    digest = hashlib.blake2b
+    each = np.frombuffer(b"".join([digest(x, digest_size=8).digest() for x in distinct.to_pylist()]), "<u8")
+    return each.astype(U64)[which] if len(which) else np.empty(0, U64)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray) -> np.ndarray:
     n = len(buf)
     power, inverse = _power_tables(n)
@@ -146,7 +159,7 @@ def shingle_sets(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     only shingle; one without words has none.
     """
     w = words(t)
-    h = word_hashes(t, w)
+    h = exact_word_hashes(t, w)
     n_docs, counts = len(t.offsets) - 1, np.diff(w.first)
     n_sh = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     doc = np.repeat(np.arange(n_docs), n_sh)

@@ -44,6 +44,21 @@ def test_top_k_equals_brute_force_with_ties_and_bad_vectors(spark, monkeypatch):
     assert K.top_k(v.where("id in (300, 301)"), v.where("id = 300"), 5).count() == 1
 
 
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [2.0 ** 21, 0.0]), (2, [2.0 ** 21, 0.0]), (3, [2.0 ** 22, 0.0]), (4, [-(2.0 ** 22) - 0.3, 7.7])]
+    rows += [(100 + i, [float(i)] * 2 + [0.5] * 130) for i in range(5)]
+    got = top_scores(spark, rows, "id = 0")
+    assert got[:2] == [(1, 3, 2 ** 59), (2, 2, 2 ** 58)] and got[-1][1] == 102 and len(got) == 5
+    for bad, error in (([(0, [2.0 ** 60]), (1, [2.0 ** 60])], "64 bits"), ([(0, [2.0 ** 30, 0.0]), (1, [2.0 ** 30, 0.0])], "64 bits")):
+        with pytest.raises(Exception, match=error):
+            top_scores(spark, bad, "id = 0")
+
+
+def top_scores(spark, rows, queries):
+    v = K.quantised(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", "v")
+    return sorted((x.rank, x.vec_id, x.score) for x in K.top_k(v, v.where(queries), 5).collect())
+
+
 def test_pruned_scan_is_exact():
     r = np.random.default_rng(0)
     v = (r.normal(size=(500, 32)) * 100).astype(np.int32)
@@ -294,7 +309,70 @@ def test_queries_with_sql_match_it(spark):
 
 
 def test_every_numbered_query_is_registered():
-    assert all(any(q.startswith(f"op{n}_") for q in QUERIES) for n in (1, 2, 4, 5, 6, 7, 8, 9, 10))
+    assert all(any(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14))
+
+
+def long_pair(n):
+    """Two different words of n letters that a polynomial hash modulo 2**64 cannot tell apart."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_long_words_are_told_apart_by_their_bytes(spark, n):
+    from tokenizers import Tokenizer
+
+    from netsieve.llm.op5_minhash_forest import near_duplicates
+    a, b = long_pair(n)
+    c = a.replace("b", "c"), b.replace("b", "c")
+    docs = spark.createDataFrame([(1, a), (2, b), (3, c[0]), (4, c[1])], "doc_id long, text string").coalesce(1)
+    byte, word = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
+    ids = {i: Tokenizer.from_file(byte).encode(t, add_special_tokens=False).ids + [0] for i, t in docs.collect()}
+    crc = {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in ids.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in op7_records.tokenised(docs, byte).collect()} == {
+        i: (len(ids[i]), crc[i]) for i in ids}
+    count = {i: len(Tokenizer.from_file(word).encode(t, add_special_tokens=False).ids) for i, t in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in op4_token_counts.token_counts(docs, word).collect()} == count
+    assert all(r.kept and r.component_id == r.doc_id for r in near_duplicates(docs, size=4).collect())
+    held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    other = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10)
+    two = spark.createDataFrame([(held, b), (other, a)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.n_known for r in op10_katz.katz_scores(two).collect()} == {held: 1, other: 2}
+
+
+CLASHING = ["deal", "whole", "passes", "cutoff", "units", "_quality", "text_key", "_text_key", "mix_row", "mix_source", "mix_shard",
+            "score", "node", "component_id", "key", "row", "count", "size", "source_size"]
+
+
+def test_pipeline_stages_keep_rows_with_odd_values_and_clashing_columns(spark, prose, tmp_path):
+    import corpus_pipeline as P
+    from llm_fixtures import FULL
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, prose(30, 1), "en", "a", 1), (None, prose(30, 1), "en", "a", 1),
+            (5, prose(30, 2), "en", "a", 1), (5, prose(30, 2), "en", "a", 1), (6, prose(4000, 3), "fr", None, 1), (7, prose(30, 2), "en", "b", 1),
+            (8, "the benchmark item hides here " + prose(12, 4), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, FULL).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, prose(12, 4)), (2, None), (3, "")], "item_id long, text string").write.parquet(sf + "/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(sf + "/labels.parquet")
+    stages = dict(P.STAGES)
+
+    def kept(name):
+        out = P.materialise(stages[name](spark, docs, sf), "odd-rows")
+        assert out.columns == docs.columns
+        assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in out.collect() for c in CLASHING)
+        assert stages[name](spark, docs.limit(0), sf).count() == 0
+        return sorted((r.doc_id for r in out.collect()), key=str)
+
+    ids = sorted((r[0] for r in rows), key=str)
+    assert kept("quality_classifier") == ids
+    assert kept("minhash_near_dedup") == sorted([1, 2, None, None, 5, 6, 8], key=str)
+    assert kept("benchmark_decontamination") == [i for i in ids if i != 8]
+    mixed = kept("mixing")
+    assert set(mixed) <= set(ids) and max(Counter(i for i in mixed if i not in (None, 5)).values()) <= 2
+    tokens = stages["token_records"](spark, docs, sf).collect()
+    assert sorted((r.doc_id for r in tokens), key=str) == ids and stages["token_records"](spark, docs.limit(0), sf).count() == 0
 
 
 def test_pipeline_stages(spark):
