@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from netsieve.llm import op1_decontaminate, op5_minhash_forest, op6_mixing, op7_records, op8_quality_gam
 from netsieve.llm.queries import table, tokenizer_path
-from netsieve.llm.storage import materialise, small_side
+from netsieve.llm.storage import materialise, small_side, unused_name
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     if model["constant"] is not None:
         return docs
     carry = [c for c in docs.columns if c != "text"] + ["text"]
-    scored = op8_quality_gam.scored(docs, model, carry, score="_quality")
-    return scored.where(F.col("_quality") >= op8_quality_gam.THRESHOLD).select(docs.columns)
+    score = unused_name(docs, "quality_score")
+    scored = op8_quality_gam.scored(docs, model, carry, score=score)
+    return scored.where(F.col(score) >= op8_quality_gam.THRESHOLD).select(docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,24 +42,31 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         return kept.select(docs.columns)
     row = F.struct(*[F.col(c) for c in docs.columns])
     one = (kept.join(small_side(twice), "doc_id", "left_semi").groupBy("doc_id")
-           .agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*"))
+           .agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")), F.to_json(row))).alias("row")).select("row.*"))
     return kept.join(small_side(twice), "doc_id", "left_anti").select(docs.columns).unionByName(one)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; NULL and empty texts, NULL and repeated ids stay as they are."""
     return op1_decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their targets: a document is absent, once or twice there, dealt to shards and shuffled in them."""
-    mixed = op6_mixing.mix(docs)
+    """Sources mixed to their targets: a document is absent, once or twice there, dealt to shards and shuffled in them.
+
+    A NULL source is a source of its own; texts without words have no size and
+    stay where their place in the order is taken; repeated rows count each.
+    """
     shards = op6_mixing.shard_count(docs)
-    return mixed.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_order").select(docs.columns)
+    mixed = op6_mixing.mixed(docs, shards=shards)
+    return mixed.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_order").select("mix_row.*")
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-id record files of every document, and the digests read back from them."""
+    """Token-id record files of every document, and the digests read back from them.
+
+    A NULL text is empty: its record holds the end id alone; NULL ids come first; repeated rows have records each.
+    """
     return op7_records.tokenised(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
