@@ -7,7 +7,7 @@ and a SQL engine can reproduce it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsieve.functions.joins import small_side
@@ -118,18 +118,52 @@ def oversample_balanced(df: DataFrame, label_col: str, id_col: str,
     base = F.floor("weight")
     copies = (base + F.when(u < F.col("weight") - base, 1).otherwise(0)).cast("bigint")
     with_w = df.join(small_side(w), F.col(label_col).eqNullSafe(F.col("_l"))).drop("_l")
-    # A rare row may get very many copies: runs of at most COPY_RUN are made first and dealt out,
-    # then each run is expanded in its own task.
+    return _repeated(with_w.withColumn("_copies", copies).drop("weight"), id_col, copy_col,
+                     (df.count() // max(w.count(), 1)) > COPY_RUN)
+
+
+def _repeated(df: DataFrame, id_col: str, copy_col: str, spread: bool) -> DataFrame:
+    """Each row ``_copies`` times, numbered from 1.
+
+    A rare row may get very many copies: runs of at most COPY_RUN are made
+    first and dealt out, then each run is expanded in its own task.
+    """
     runs = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("_copies") / COPY_RUN) - 1)
-    dealt = (with_w.withColumn("_copies", copies).where(F.col("_copies") > 0).drop("weight")
-             .withColumn("_run", F.explode(runs)))
-    if (df.count() // max(w.count(), 1)) > COPY_RUN:
+    dealt = df.where(F.col("_copies") > 0).withColumn("_run", F.explode(runs))
+    if spread:
         dealt = dealt.repartition(id_col, "_run")
     first = F.col("_run") * COPY_RUN + 1
     return (dealt.withColumn(copy_col, F.explode(F.sequence(first, F.least(F.col("_copies"), first + (COPY_RUN - 1)))))
             .withColumn(copy_col, F.col(copy_col).cast("int")).drop("_copies", "_run"))
 
 
+def weighted_resample(df: DataFrame, label_col: str, id_col: str, n: int | None = None,
+                      seed: int = DEFAULT_SEED, copy_col: str = "copy") -> DataFrame:
+    """Exactly ``n`` rows (default: as many as ``df`` has), drawn with replacement, classes weighing the same.
+
+    Systematic draws: the rows lie on a line of length n, class after class in
+    label order (NULL last) and in hash order inside a class, each as long as
+    its share of n; a row is drawn once for every point j + 1/2 it covers.
+    Its place follows from the class's number, size and the row's rank, so no
+    running sum crosses classes; all arithmetic is in integers.
+    """
+    every = Window.partitionBy()
+    classes = (df.groupBy(F.col(label_col).alias("_l")).agg(F.count(F.lit(1)).alias("_size"))      # one row per class
+               .select("_l", (F.row_number().over(Window.orderBy(F.asc_nulls_last("_l"))) - 1).alias("_class"),
+                       F.count(F.lit(1)).over(every).alias("_k"), F.sum("_size").over(every).alias("_total")))
+    ranked = hash_rank(df, id_col, [label_col], seed)
+    t = ranked.join(small_side(classes), F.col(label_col).eqNullSafe(F.col("_l")))
+    t = t.withColumn("_draws", F.col("_total") if n is None else F.lit(n).cast("bigint"))
+
+    def points_before(rank: str) -> str:
+        at = f"cast(_draws as decimal(38, 0)) * (cast(_class as decimal(20, 0)) * {SIZE} + {rank})"
+        cell = f"cast(_k as decimal(20, 0)) * {SIZE}"
+        return f"((2 * {at} + {cell} - 1) div (2 * {cell}))"
+    copies = F.expr(f"{points_before(f'{RANK} + 1')} - {points_before(RANK)}")
+    return _repeated(t.withColumn("_copies", copies).drop("_l", "_class", "_k", "_total", "_draws", RANK, SIZE), id_col, copy_col,
+                     (n or df.count()) // max(classes.count(), 1) > COPY_RUN)
+
+
 def split_class_counts(df: DataFrame, label_col: str, split_col: str,
                        splits=("train", "test")) -> DataFrame:
     """Class x split counts (explicit pivot values: no extra distinct job)."""

@@ -13,6 +13,7 @@ from netsieve.operators import split as S
 from netsieve.plans.registry import register
 from netsieve.plans.sql import (FLOWS_CTE, class_rank, class_size, clean_cte, group_split_cte,
                                 median_fill_cte, r6, strat_split_cte, with_ctes)
+from netsieve.sources.sinks import materialize
 from netsieve.sources.flows import FEATURES, flows
 
 # The days whose flows train, and every day name.
@@ -147,6 +148,31 @@ def oversample_balanced(spark, sf_dir):
     return S.oversample_balanced(flows(spark, sf_dir).select("row_id", "label"), "label", "row_id")
 
 
+@register("resample_exact", with_ctes(
+    FLOWS_CTE,
+    f"r AS (SELECT row_id, label, {class_rank()} AS rk, {class_size()} AS n, dense_rank() OVER (ORDER BY label) - 1 AS c FROM flows)",
+    "a AS (SELECT *, (SELECT count(*) FROM flows)::HUGEINT AS draws, (SELECT count(DISTINCT label) FROM flows)::HUGEINT * n AS cell FROM r)",
+    "p AS (SELECT row_id, label, (2 * draws * (c * n + rk + 1) + cell - 1) // (2 * cell) "
+    "- (2 * draws * (c * n + rk) + cell - 1) // (2 * cell) AS copies FROM a)") + """
+SELECT row_id, label, CAST(unnest(generate_series(1, CAST(copies AS BIGINT))) AS INTEGER) AS copy FROM p WHERE copies > 0""")
+def resample_exact(spark, sf_dir):
+    """As many balanced draws as there are rows, exactly."""
+    return S.weighted_resample(flows(spark, sf_dir).select("row_id", "label"), "label", "row_id")
+
+
+@register("resplit_union", with_ctes(FLOWS_CTE, strat_split_cte("s"), f"""
+r AS (SELECT row_id, label, split, {class_rank(part="label")} AS rk, {class_size()} AS n FROM s)""") + """
+SELECT row_id, label, split AS old_split, CASE WHEN rk < ceil(n * 0.1) THEN 'holdout'
+  WHEN rk < ceil(n * 0.1) + ceil((n - ceil(n * 0.1)) * 0.2) THEN 'test' ELSE 'train' END AS split FROM r""")
+def resplit_union(spark, sf_dir):
+    """Written train and test tables united again and split into holdout, test and train."""
+    old = materialize(S.stratified_split(flows(spark, sf_dir).select("row_id", "label"), "label", "row_id"), "old-split",
+                      partition_by=("split",))
+    train, test = (old.where(F.col("split") == p) for p in ("train", "test"))
+    whole = train.unionByName(test).withColumnRenamed("split", "old_split")
+    return S.stratified_split(whole, "label", "row_id", cuts=(("holdout", 0.1), ("test", 0.2))).select("row_id", "label", "old_split", "split")
+
+
 @register("union_by_name", with_ctes(FLOWS_CTE, strat_split_cte("s")) + """
 SELECT f.row_id, f.label, s.split, f.flow_duration, f.total_fwd_packets, f.day
 FROM flows f JOIN s USING (row_id) WHERE s.split = 'train'
