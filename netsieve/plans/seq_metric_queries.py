@@ -14,6 +14,7 @@ from netsieve.session import scratch_path
 from netsieve.sources.flows import FEATURES, flows, with_binary_score, with_synthetic_prediction
 from netsieve.streaming import messages as MSG
 from netsieve.streaming import scoring as SC
+from netsieve.streaming import sessions as SES
 
 from netsieve.plans.prep_queries import DAY_SQL, MINMAX_CTES
 
@@ -387,3 +388,66 @@ def event_time_chunks(spark, sf_dir):
     s = Q.event_time_chunks(f, ["src_ip", "dst_ip"], "ts", FEATURES, "label", "row_id", "1 day", max_rows=2)
     return s.select("src_ip", "dst_ip", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "chunk",
                     "n_rows", "is_attack", _int_seq("seq", FWD).alias("fwd_seq"))
+
+
+SESSION_GAP_S, SESSION_ROWS = 6 * 3600, 3
+SESSION_SQL = with_ctes(FLOWS_CTE, """
+a AS (SELECT *, '10.0.0.' || CAST(destination_port % 4 AS VARCHAR) AS dst_ip FROM flows),
+b AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 21600000000 THEN 0 ELSE 1 END AS new FROM a
+  WINDOW w AS (PARTITION BY src_ip, dst_ip ORDER BY ts, row_id)),
+c AS (SELECT *, sum(new) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts, row_id ROWS UNBOUNDED PRECEDING) AS s FROM b),
+d AS (SELECT *, min(ts) OVER (PARTITION BY src_ip, dst_ip, s) AS session_start,
+  (row_number() OVER (PARTITION BY src_ip, dst_ip, s ORDER BY ts, row_id) - 1) // 3 AS chunk FROM c)""") + """
+SELECT src_ip, dst_ip, strftime(session_start, '%Y-%m-%d %H:%M:%S') AS session_start, chunk, count(*) AS n_rows,
+  max(CASE WHEN label = 'BENIGN' THEN 0 ELSE 1 END)::INTEGER AS is_attack,
+  string_agg(CAST(total_fwd_packets AS VARCHAR), ',' ORDER BY ts, row_id) AS fwd_seq
+FROM d GROUP BY src_ip, dst_ip, s, session_start, chunk"""
+
+
+def _pair_flows(spark, sf_dir):
+    return flows(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
+        "dst_ip", F.concat(F.lit("10.0.0."), (F.col("destination_port") % 4).cast("string")))
+
+
+def _session_rows(s):
+    return s.select("src_ip", "dst_ip", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "chunk", "n_rows",
+                    "is_attack", _int_seq("seq", FWD).alias("fwd_seq"))
+
+
+@register("session_chunks", SESSION_SQL)
+def session_chunks(spark, sf_dir):
+    """Gap sessions by address pair, at most three flows a chunk."""
+    return _session_rows(SES.session_chunks(_pair_flows(spark, sf_dir), ["src_ip", "dst_ip"], "ts", "row_id", FEATURES, "label",
+                                            SESSION_GAP_S, SESSION_ROWS))
+
+
+@register("session_chunks_stream", SESSION_SQL)
+def session_chunks_stream(spark, sf_dir):
+    """W7 on a stream: the same sessions from state and timers, over files in time order.
+
+    The last file holds one flow far in the future, so that the watermark passes all others; its own session stays open.
+    """
+    base = scratch_path(spark, "sessions")
+    f = _pair_flows(spark, sf_dir).select("src_ip", "dst_ip", "ts", "row_id", "label", *FEATURES)
+    lo, hi = f.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    part = F.floor((F.unix_seconds("ts") - lo) * 4 / (hi - lo + 1))
+    for i in range(4):
+        f.where(part == i).coalesce(1).write.mode("append").parquet(f"{base}/src")
+    f.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(hi + 10 * SESSION_GAP_S))).withColumn("src_ip", F.lit("end of stream")) \
+        .coalesce(1).write.mode("append").parquet(f"{base}/src")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, SES.ROCKSDB)
+    try:
+        stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src")
+        found = SES.stream_session_chunks(stream, ["src_ip", "dst_ip"], "ts", "row_id", FEATURES, "label", SESSION_GAP_S, "1 hour",
+                                          SESSION_ROWS)
+        q = (found.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+    return _session_rows(spark.read.parquet(f"{base}/out"))
