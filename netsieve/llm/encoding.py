@@ -26,7 +26,9 @@ from netsieve.llm import textarrays as T
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_PIECES = 500_000
+MEMO_PIECES = 800_000
+#: New pieces joined into one text for the tokenizer.
+JOINED = 2000
 #: First bytes of the UTF-8 characters that Unicode counts as white space.
 _WIDE_SPACE = np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
 _MATCHED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -61,6 +63,7 @@ class Encoder:
             self.model = Tokenizer.from_file(path)
             with open(path, encoding="utf-8") as f:
                 self.rule = cut_rule(json.load(f))
+        self.token_bytes = self._token_bytes() if self.rule == "space" else None
         self._forget()
 
     def _forget(self):
@@ -69,6 +72,15 @@ class Encoder:
         self.size = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
+    def _token_bytes(self) -> np.ndarray:
+        """Bytes of each id: byte-level tokens have one letter a byte, added ones stand as they are."""
+        out = np.zeros(self.model.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self.model.get_vocab(with_added_tokens=True).items():
+            out[i] = len(token)
+        for i, added in self.model.get_added_tokens_decoder().items():
+            out[i] = len(added.content.encode())
+        return out
+
     def whole(self, texts: list[str]) -> list[list[int]]:
         """Ids as the library gives them, each text in one call."""
         if self.sentencepiece:
@@ -112,19 +124,44 @@ class Encoder:
         if len(self.known) + len(pieces) > MEMO_PIECES or len(self.ids) > 8 * MEMO_PIECES:
             self._forget()
         row = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        new = np.flatnonzero(row < 0)
-        if len(new):
-            fresh = [pieces[i] for i in new.tolist()]
-            got = self.whole([p.decode() for p in fresh])
-            size = np.fromiter(map(len, got), np.int64, len(got))
+        new = np.flatnonzero(row < 0).tolist()
+        if new:
+            new.sort(key=lambda i: not _leads(pieces[i]))
+            fresh = [pieces[i] for i in new]
+            ids, size = self._encoded(fresh)
             at = len(self.ids) + np.cumsum(size) - size
             row[new] = len(self.at) + np.arange(len(new))
             self.known.update(zip(fresh, row[new].tolist()))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
+            self.ids = np.concatenate([self.ids, ids])
             self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
         return self.at[row], self.size[row]
 
 
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in order, number of ids of each piece); pieces that lead with a space come first.
+
+        Under the rule ``space`` those are joined into long texts, which the
+        tokenizer splits again exactly there; the known byte length of every
+        token gives each piece its ids.
+        """
+        joined = sum(map(_leads, pieces)) if self.token_bytes is not None else 0
+        texts = [b"".join(pieces[i:min(i + JOINED, joined)]).decode() for i in range(0, joined, JOINED)]
+        ids = np.fromiter(chain.from_iterable(self.whole(texts)), np.uint32)
+        ends = np.cumsum(self.token_bytes[ids]) if joined else np.empty(0, np.int64)
+        stop = np.cumsum(np.fromiter(map(len, pieces[:joined]), np.int64, joined))
+        last = np.searchsorted(ends, stop)
+        if joined and not (last[-1] == len(ends) - 1 and np.array_equal(ends[last], stop)):
+            joined, ids, last = 0, ids[:0], last[:0]       # some token does not have its listed length
+        got = self.whole([p.decode() for p in pieces[joined:]])
+        size = np.concatenate([np.diff(last, prepend=-1), np.fromiter(map(len, got), np.int64, len(got))]).astype(np.int64)
+        return np.concatenate([ids, np.fromiter(chain.from_iterable(got), np.uint32)]), size
+
+
+def _leads(piece: bytes) -> bool:
+    """A space, then a character that is not white space: always the start of a pre-token."""
+    return len(piece) > 1 and piece[0] == 0x20 and not T.WHITE[piece[1]] and not _WIDE_SPACE[piece[1]]
+
+
 _encoders: dict[str, Encoder] = {}
 
 
