@@ -1,14 +1,17 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms of a text are its runs of letters and the byte 4-grams inside them
-(insults also occur as parts of compounds), each hashed to 32 bits.  Counts over a bounded sample of labelled
-rows pick the ``ACTIVE`` terms that depend most on the label; the machine
+(insults also occur as parts of compounds), each hashed to one of ``BUCKETS``
+buckets.  Every bucket has a weight and factors; the machine
 
     z = w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i (v_if x_i)^2)
 
-over the 0/1 presence of those terms learns a weight for each term and,
-through the factors, for each pair of terms that occur together.  Scoring
-looks the terms of a batch up in the sorted list of active ones.
+sums over all buckets present in a text and, through the factors, over each
+pair of buckets that occur together.  x_i is the same for all texts: it grows
+from 0 to 1 with the chi-square of the bucket against the label in the fitted
+rows, and is at least ``FLOOR`` for factors (a term that tells nothing alone may
+still tell in a pair).  So no term is left out, and thousands of rare terms do
+not fit the noise.
 
 Defined cases: NULL and empty texts have no terms and get the score of w0;
 without labelled rows of both classes every score is the share of label 1
@@ -27,16 +30,19 @@ from netsieve.llm import textarrays as T
 from netsieve.llm.labelled import SAMPLE_ROWS, held_out, labelled_sample
 from netsieve.llm.storage import map_arrow, materialise
 
-ACTIVE, FACTORS, GRAM = 2048, 8, 4
-MIN_TEXTS = 4
-EPOCHS, BATCH, RATE, SEED = 25, 256, 0.05, 17
+BUCKETS, FACTORS, GRAM = 1 << 18, 8, 4
+#: The rows fitted on hold at most this many (text, bucket) pairs in all.
+SAMPLE_PAIRS = 30_000_000
+EPOCHS, BATCH, RATE, PAIR_RATE, SEED = 8, 256, 2.0, 0.3, 17
 #: L2 on single weights, and the stronger one on factors: a pair counts only where single terms do not explain the label.
-RIDGE, PAIR_RIDGE = 1e-5, 3e-3
+RIDGE, PAIR_RIDGE = 1e-6, 1e-3
+#: Chi-square at which a bucket's x is 2 ** -1.5, and the least x of a factor.
+EVIDENCE, FLOOR = 60.0, 0.01
 THRESHOLD = 0.7
 
 
 def terms(t: T.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit term, text index) of every term occurrence of a slice."""
+    """(bucket, text index) of every term occurrence of a slice."""
     w = T.words(t, T.NOT_LETTER)
     size = w.ends - w.starts
     more = np.maximum(size - GRAM + 1, 0)
@@ -45,112 +51,119 @@ def terms(t: T.Texts) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.concatenate([w.starts, at]), np.concatenate([w.ends, at + GRAM])
     h = T.span_hashes(t.buf, starts, ends, T.FOLDED_CODE)
     doc = np.searchsorted(t.offsets, starts, "right") - 1
-    return (h >> np.uint64(32)).astype(np.int64), doc
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64), doc
 
 
 def _present(term: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, term) pairs, by text."""
+    """Distinct (text, bucket) pairs, by text."""
     key = np.unique((doc.astype(np.uint64) << np.uint64(32)) | term.astype(np.uint64))
     return (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.int64)
 
 
-def _count_rows(batches):
+def _example_rows(batches):
     for batch in batches:
-        label = np.asarray(batch.column(1))
         for lo, t in T.slices(batch.column(0)):
             term, doc = _present(*terms(t))
-            u, at = np.unique(term, return_inverse=True)
-            y = label[lo + doc]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(u), pa.array(np.bincount(at, minlength=len(u)).astype(np.int64)),
-                 pa.array(np.bincount(at, y, len(u)).astype(np.int64))], names=["term", "n", "pos"])
-
-
-def _lookup(active: np.ndarray, t: T.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """(index in ``active``, text index) of the active terms present."""
-    term, doc = terms(t)
-    at = np.minimum(np.searchsorted(active, term), len(active) - 1)
-    hit = active[at] == term
-    return _present(at[hit], doc[hit])
-
-
-def _example_rows(active: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            for lo, t in T.slices(batch.column(0)):
-                at, doc = _lookup(active, t)
-                n = len(t.offsets) - 1
-                cut = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array(cut), pa.array(at)), batch.column(1).slice(lo, n)], names=["x", "y"])
-    return run
+            n = len(t.offsets) - 1
+            cut = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cut), pa.array(term.astype(np.int32))),
+                                              batch.column(1).slice(lo, n)], names=["x", "y"])
 
 
 def _forward(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dense form of the sum, for 0/1 rows over all buckets."""
     s = x @ model["v"]
     pairs = 0.5 * ((s * s).sum(1) - x @ (model["v"] ** 2).sum(1))
     return np.float32(model["w0"]) + x @ model["w"] + pairs, s
 
 
-def fit(rows: list[list[int]], y: np.ndarray, size: int) -> dict:
-    """Adam on the logistic loss over 0/1 rows given as lists of active indices."""
+def evidence(term: np.ndarray, y: np.ndarray, rows: int, positive: float, size: int) -> np.ndarray:
+    """x of each bucket, from the 2 x 2 table (bucket present, label 1); ``y`` is the label of each (row, bucket) pair."""
+    n, a = np.bincount(term, minlength=size).astype(float), np.bincount(term, y, size)
+    expected = n * (positive / rows)
+    chi = (a - expected) ** 2 / np.maximum(expected * (1 - positive / rows) * (1 - n / (rows + 1.0)), 1e-9)
+    chi *= n / (n + 4.0)  # the quotient is unreliable for a few rows
+    return (chi / (chi + EVIDENCE)) ** 1.5
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows beginning at ``starts``; an empty run gives 0."""
+    end = np.append(starts[1:], len(values))
+    out = np.zeros((len(starts), *values.shape[1:]), values.dtype)
+    some = starts < end
+    if some.any():
+        out[some] = np.add.reduceat(values, starts[some], axis=0)
+    return out
+
+
+def fit(rows: list, y: np.ndarray, size: int) -> dict:
+    """AdaGrad on the logistic loss over rows given as lists of bucket numbers; a step touches only its rows' buckets."""
     r = np.random.default_rng(SEED)
+    y = np.asarray(y, float)
+    rows = [np.asarray(x, np.int64) for x in rows]
+    counts = np.array([len(x) for x in rows])
+    x = evidence(np.concatenate(rows), np.repeat(y, counts), len(y), y.sum(), size).astype(np.float32)
+    xv = np.maximum(x, np.float32(FLOOR))
     p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    model = {"w0": np.float32(np.log(p / (1 - p))), "w": np.zeros(size, np.float32),
-             "v": r.normal(0, 0.01, (size, FACTORS)).astype(np.float32)}
-    names = ("w0", "w", "v")
-    m1, m2 = ({k: np.zeros_like(np.asarray(model[k])) for k in names} for _ in range(2))
-    step = 0
-    for epoch in range(EPOCHS):
+    w0, w, v = np.log(p / (1 - p)), np.zeros(size, np.float32), r.normal(0, 0.01, (size, FACTORS)).astype(np.float32) * x[:, None]
+    n0, nw, nv = 1e-4, np.full(size, 1e-6, np.float32), np.full((size, FACTORS), 1e-8, np.float32)
+    for _ in range(EPOCHS):
         order = r.permutation(len(y))
         for lo in range(0, len(y), BATCH):
             take = order[lo:lo + BATCH]
-            x = np.zeros((len(take), size), np.float32)
-            for i, k in enumerate(take):
-                x[i, rows[k]] = 1.0
-            z, s = _forward(model, x)
+            first = np.cumsum(counts[take]) - counts[take]
+            term = np.concatenate([rows[k] for k in take])
+            row = np.repeat(np.arange(len(take)), counts[take])
+            by_term = np.argsort(term, kind="stable")
+            ordered = term[by_term]
+            begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[:len(ordered)])
+            used, row_of = ordered[begins], row[by_term]
+            xu, wu, vu = x[used], w[used], v[used]
+            at = np.empty(len(term), np.int64)
+            at[by_term] = np.repeat(np.arange(len(used)), np.diff(np.append(begins, len(term))))
+            s = _sums(vu[at], first)
+            z = w0 + _sums((wu * xu - 0.5 * (vu * vu).sum(1))[at], first) + 0.5 * (s * s).sum(1)
             e = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[take]) / len(take)).astype(np.float32)
-            xe = x.T @ e
-            grad = {"w0": e.sum(), "w": xe + RIDGE * model["w"],
-                    "v": x.T @ (e[:, None] * s) - xe[:, None] * model["v"] + PAIR_RIDGE * model["v"]}
-            step += 1
-            rate = RATE * (0.5 if epoch > EPOCHS // 2 else 1.0)
-            for k in names:
-                m1[k] = 0.9 * m1[k] + 0.1 * grad[k]
-                m2[k] = 0.999 * m2[k] + 0.001 * grad[k] ** 2
-                move = rate * (m1[k] / (1 - 0.9 ** step)) / (np.sqrt(m2[k] / (1 - 0.999 ** step)) + 1e-8)
-                model[k] = (model[k] - move).astype(np.float32)
-    return model
+            g = _sums(e[row_of], begins)
+            grad = g * xu + RIDGE * wu
+            pair = _sums((e[:, None] * s)[row_of], begins) - g[:, None] * vu + PAIR_RIDGE * vu
+            nw[used] += grad * grad
+            w[used] -= RATE * grad / np.sqrt(nw[used])
+            nv[used] += pair * pair
+            v[used] -= PAIR_RATE * xv[used, None] * pair / np.sqrt(nv[used])
+            n0 += e.sum() ** 2
+            w0 -= RATE * e.sum() / np.sqrt(n0)
+    return {"w0": np.float32(w0), "w": w * x, "v": v}
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, fold: int = 1,
-          rows: int = SAMPLE_ROWS) -> dict:
-    """Fit on the bounded sample; the driver holds at most ``rows`` lists of active term indices."""
-    sample = materialise(labelled_sample(docs, labels, label, modulus, fold, rows), "toxicity-sample")
-    total, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if positive in (0, total):
-        return {"constant": 1.0 if positive else 0.0}
-    counts = (map_arrow(sample, _count_rows, "term long, n long, pos long").groupBy("term")
-              .agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= MIN_TEXTS))
-    # Chi-square of the 2 x 2 table (term present, label).
-    n, a = F.col("n").cast("double"), F.col("pos").cast("double")
-    expected = n * (positive / total)
-    chi = (a - expected) ** 2 / (expected * (1 - positive / total) * (1 - n / (total + 1.0)))
-    picked = counts.orderBy(F.desc(chi), "term").limit(ACTIVE).select("term").collect()
-    active = np.sort(np.array([r.term for r in picked], np.int64))
-    if not len(active):
-        return {"constant": positive / total}
-    got = map_arrow(sample, _example_rows(active), "x array<long>, y int").collect()
-    got.sort(key=lambda r: (r.y, r.x))  # the order rows arrive in must not matter
-    return {"constant": None, "active": active,
-            **fit([r.x for r in got], np.array([r.y for r in got], float), len(active))}
+          rows: int = SAMPLE_ROWS, pairs: int = SAMPLE_PAIRS) -> dict:
+    """Fit on a sample of at most ``rows`` rows and ``pairs`` (text, bucket) pairs, which the driver holds.
+
+    Rows beyond ``pairs`` are left out in the order of a hash of their buckets.
+    """
+    sample = labelled_sample(docs, labels, label, modulus, fold, rows)
+    sample = materialise(map_arrow(sample, _example_rows, "x array<int>, y int")
+                         .withColumn("k", F.xxhash64("x", "y")), "toxicity-sample")
+    sizes = sample.groupBy("k").agg(F.sum(F.size("x")).alias("n")).collect()  # at most ``rows`` of them
+    sizes.sort(key=lambda r: r.k)
+    total = np.cumsum([r.n for r in sizes])
+    if len(total) and total[-1] > pairs:
+        sample = sample.where(F.col("k") < sizes[int(np.searchsorted(total, pairs, "right"))].k)
+    got = sample.toArrow().sort_by([("k", "ascending")])  # the order rows arrive in must not matter
+    y = np.asarray(got["y"], float)
+    if not len(y) or y.min() == y.max():
+        return {"constant": float(y.mean()) if len(y) else 0.0}
+    x = got["x"].combine_chunks()
+    at, flat = np.asarray(x.offsets), np.asarray(x.values)
+    return {"constant": None, **fit([flat[a:b] for a, b in zip(at[:-1], at[1:])], y, BUCKETS)}
 
 
 def predict(model: dict, t: T.Texts) -> np.ndarray:
     n = len(t.offsets) - 1
     if model["constant"] is not None:
         return np.full(n, model["constant"])
-    at, doc = _lookup(model["active"], t)
+    at, doc = _present(*terms(t))
     linear = np.bincount(doc, model["w"][at] - 0.5 * (model["v"][at] ** 2).sum(1), n)
     squares = sum(np.bincount(doc, model["v"][at, f], n) ** 2 for f in range(FACTORS))
     return 1 / (1 + np.exp(-np.clip(model["w0"] + linear + 0.5 * squares, -30, 30)))

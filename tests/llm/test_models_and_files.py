@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -237,6 +238,50 @@ def test_factors_learn_a_pair_that_weights_cannot():
     assert z[2] > 0 > max(z[0], z[1], z[3])
 
 
+def test_factors_learn_a_partner_that_tells_nothing_alone():
+    rows = ([[0, 1]] * 100 + [[1]] * 300 + [[0]] * 100 + [[2]] * 100 + [[]] * 200) * 8
+    y = np.array(([1] * 100 + [0] * 400 + [1] * 100 + [0] * 200) * 8, float)
+    flat, label = np.concatenate([np.array(x, int) for x in rows]), np.repeat(y, [len(x) for x in rows])
+    assert op9_toxicity_fm.evidence(flat, label, len(y), y.sum(), 3)[1] < 1e-6  # term 1 has the label's share
+    m = op9_toxicity_fm.fit(rows, y, 3)
+    z = op9_toxicity_fm._forward(m, np.array([[1, 1, 0], [0, 1, 0], [1, 0, 0], [0, 0, 1]], float))[0]
+    assert min(z[0], z[3]) > 0 > max(z[1], z[2])
+
+
+def test_toxicity_terms_and_scores_by_plain_loops():
+    """Buckets of a text by a dictionary of its spans, and the pair sum written out pair by pair."""
+    import pyarrow as pa
+    texts = ["Ab abcdef, abcdefg x", None, "", "ABCDEF abcdef", "q" * 3000, "\u00e9t\u00e9 zz 12"]
+    size = op9_toxicity_fm.BUCKETS
+    (_, t), = op9_toxicity_fm.T.slices(pa.array(texts))
+    bucket = {}
+    for text in texts:  # a span alone is a text of one term
+        for word in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode()):
+            for span in [word] + ([word[i:i + 4] for i in range(len(word) - 3)] if len(word) > 4 else []):
+                if span not in bucket:
+                    buf = np.frombuffer(span, np.uint8)
+                    h = op9_toxicity_fm.T.span_hashes(buf, np.array([0]), np.array([len(span)]), op9_toxicity_fm.T.FOLDED_CODE)
+                    bucket[span] = int(h[0]) % size
+    r = np.random.default_rng(3)
+    m = {"constant": None, "w0": np.float32(-0.5), "w": r.normal(0, 0.3, size), "v": r.normal(0, 0.3, (size, op9_toxicity_fm.FACTORS))}
+    for text, got in zip(texts, op9_toxicity_fm.predict(m, t)):
+        own = set()
+        for word in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode()):
+            own |= {bucket[s] for s in [word] + ([word[i:i + 4] for i in range(len(word) - 3)] if len(word) > 4 else [])}
+        own = sorted(own)
+        z = -0.5 + sum(m["w"][i] for i in own) + sum(m["v"][a] @ m["v"][b] for k, a in enumerate(own) for b in own[k + 1:])
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_toxicity_sample_is_bounded_by_pairs(spark):
+    rows = [(i, "vile scum" if i % 2 else "kind words here") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    full, cut = op9_toxicity_fm.train(docs, labels), op9_toxicity_fm.train(docs, labels, pairs=10**6)
+    assert (full["w"] == cut["w"]).all()
+    assert "constant" in op9_toxicity_fm.train(docs, labels, pairs=1)
+
+
 def katz(docs, out):
     """Scores by dictionaries; also checks that every context sums to 1."""
     toks = {i: WORD.findall((t or "").translate(LOWER)) + ["</s>"] for i, t in docs}
