@@ -387,11 +387,8 @@ DIRTY = {"row_id": " Flow ID", "src_ip": " Source IP", "label": " Label ",
          "fwd_iat_max": " Fwd IAT Max"}
 
 
-@register("csv_ingest", with_ctes(FLOWS_CTE) + """
-SELECT row_number() OVER (ORDER BY source_file, row_id) - 1 AS row_id, label, source_file, day, """
-          + ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" if c == "flow_bytes_s"
-                      else c for c in FEATURES) + " FROM flows")
-def csv_ingest(spark, sf_dir):
+def _written_and_read(spark, sf_dir, compression="none"):
+    """The flows as a folder of CSV files with the source's blank-padded names, and its ingest."""
     from pyspark.sql import types as T
 
     from netsieve.session import scratch_path
@@ -399,12 +396,33 @@ def csv_ingest(spark, sf_dir):
     path = scratch_path(spark, "flow-csv")
     src = flows(spark, sf_dir).select("source_file", *DIRTY.keys())
     write_flow_csvs(src.select("source_file", *[F.col(c).alias(d) for c, d in DIRTY.items()]),
-                    path, "source_file", DIRTY["row_id"])
+                    path, "source_file", DIRTY["row_id"], compression=compression)
     types = dict(src.dtypes)
     spark_type = {"bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
     schema = T.StructType([T.StructField(DIRTY[c], spark_type[types[c]]) for c in DIRTY])
-    df = read_flow_csvs(spark, path, schema)
+    return path, read_flow_csvs(spark, path, schema)
+
+
+@register("csv_ingest", with_ctes(FLOWS_CTE) + """
+SELECT row_number() OVER (ORDER BY source_file, row_id) - 1 AS row_id, label, source_file, day, """
+          + ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" if c == "flow_bytes_s"
+                      else c for c in FEATURES) + " FROM flows")
+def csv_ingest(spark, sf_dir):
+    df = _written_and_read(spark, sf_dir)[1]
     back = {d.strip(): c for c, d in DIRTY.items()}
     df = df.select(*[F.col(n).alias(back.get(n, n)) for n in df.columns])
     df = C.normalize_missing(df, ["flow_bytes_s"])
     return df.select("row_id", "label", "source_file", "day", *FEATURES)
+
+
+@register("csv_load_status", with_ctes(FLOWS_CTE) + f"""
+SELECT source_file, {len(DIRTY)} AS n_columns, CAST(0 AS BIGINT) AS n_unreadable, count(*) AS n_rows,
+       CAST(0 AS BIGINT) AS n_malformed FROM flows GROUP BY source_file""")
+def csv_load_status(spark, sf_dir):
+    """S2 + K4 over gzip files, each streamed to its end in a task; the status table is written and read back."""
+    from netsieve.session import scratch_path
+    from netsieve.sources.csv_files import load_status
+    path, df = _written_and_read(spark, sf_dir, "gzip")
+    out = scratch_path(spark, "csv-load-status")
+    load_status(spark, path, df).write.parquet(out)
+    return spark.read.parquet(out)

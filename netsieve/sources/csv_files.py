@@ -12,7 +12,6 @@ from __future__ import annotations
 import csv
 import re
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +26,8 @@ ID_COLUMNS = ["Flow ID", "Source IP", "Destination IP", "Timestamp"]
 
 
 def write_flow_csvs(df: DataFrame, path: str, file_col: str = "source_file",
-                    order_col: str | None = None, files_per_source: int | None = None) -> None:
+                    order_col: str | None = None, files_per_source: int | None = None,
+                    compression: str = "none") -> None:
     """K1: one folder per source file name (``file_col=value``), header line, rows in order.
 
     Range partitioning by (file, order) keeps each part file sorted and the
@@ -37,7 +37,7 @@ def write_flow_csvs(df: DataFrame, path: str, file_col: str = "source_file",
     if order_col:
         n = files_per_source or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         out = df.repartitionByRange(n, file_col, order_col).sortWithinPartitions(file_col, order_col)
-    out.write.mode("overwrite").option("header", True).partitionBy(file_col).csv(path)
+    out.write.mode("overwrite").option("header", True).option("compression", compression).partitionBy(file_col).csv(path)
 
 
 def _data_files(spark: SparkSession, path: str) -> list[str]:
@@ -53,66 +53,102 @@ def _data_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
-def _header(spark: SparkSession, file: str) -> list[str] | None:
-    """Column names in a file's first line; None when it cannot be read."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(file)
-    try:
-        stream = p.getFileSystem(conf).open(p)
-        try:
-            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
-            source = stream if codec is None else codec.createInputStream(stream)
-            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine()
-        finally:
-            stream.close()
-    except Py4JJavaError:
-        return None
-    return next(csv.reader([line])) if line else []
-
-
-def _whole_gzip(batches):
-    """Names of the gzip files whose stream ends properly (one file is one row)."""
+PIECE = 1 << 20
+STATUS = "file string, header array<string>, n_bytes long, problem string"
+
+
+def _inspect(name: str) -> tuple[list[str] | None, int | None, str | None]:
+    """(column names, bytes, problem) of one file, streamed in pieces: a plain file up to its first line, gzip to its end.
+
+    A line longer than a piece is no header.  Decompressed pieces are bounded too, however well a file packs.
+    """
     import zlib
 
+    import pyarrow as pa
+    from pyarrow.fs import FileSystem
+    try:
+        remote = re.match(r"(?!file:)(\w+://[^/]*)(/.*)", name)  # the path is no URI: % is an ordinary character
+        fs, root = FileSystem.from_uri(remote[1] + "/" if remote else "/")
+        inner = root.rstrip("/") + (remote[2] if remote else re.sub(r"^file:/+", "/", name))
+        size, head, more = fs.get_file_info(inner).size, b"", True
+        with fs.open_input_stream(inner, compression=None) as stream:
+            packed = zlib.decompressobj(31) if name.endswith(".gz") else None
+            while (piece := stream.read(PIECE)) and more:
+                if packed is None:
+                    head += piece
+                    more = b"\n" not in head and len(head) <= PIECE
+                text = b""
+                while packed is not None and (piece or len(text) == PIECE):  # a full piece may leave more inside
+                    if packed.eof:
+                        if not piece:
+                            break
+                        packed = zlib.decompressobj(31)  # the next member
+                    text = packed.decompress(piece, PIECE)
+                    if b"\n" not in head and len(head) <= PIECE:
+                        head += text
+                    piece = packed.unused_data if packed.eof else packed.unconsumed_tail
+            if packed is not None and not packed.eof:
+                return None, size, "cut short"
+    except (OSError, pa.ArrowInvalid) as e:
+        return None, None, f"not readable: {type(e).__name__}"
+    except zlib.error:
+        return None, size, "not gzip data"
+    line, end, _ = head.partition(b"\n")
+    if len(line) > PIECE:
+        return None, size, "no header line"
+    try:
+        header = next(csv.reader([line.decode("utf-8-sig").rstrip("\r")]), [])
+    except UnicodeDecodeError:
+        return None, size, "header is not UTF-8"
+    return (header, size, None) if header else (None, size, "empty")
+
+
+def _inspect_rows(batches):
     import pyarrow as pa
     for batch in batches:
-        good = []
-        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data, ok = memoryview(content.as_buffer()), False
-            try:
-                d = zlib.decompressobj(31)
-                for at in range(0, len(data), 1 << 20):
-                    piece = bytes(data[at:at + (1 << 20)])
-                    while piece:
-                        d.decompress(piece)
-                        piece, d = (d.unused_data, zlib.decompressobj(31)) if d.eof and d.unused_data else (b"", d)
-                ok = d.eof
-            except zlib.error:
-                pass
-            if ok:
-                good.append(name)
-        yield pa.RecordBatch.from_arrays([pa.array(good, pa.string())], names=["name"])
+        for name in batch.column(0).to_pylist():
+            header, size, problem = _inspect(name)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([header], pa.list_(pa.string())), pa.array([size], pa.int64()),
+                 pa.array([problem], pa.string())], names=["file", "header", "n_bytes", "problem"])
 
 
-def readable_files(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """{file: column names} of the files that can be read to their end.
+def file_status(spark: SparkSession, path: str) -> DataFrame:
+    """File, header, n_bytes and problem (NULL: readable) of every data file under a folder.
 
-    Compressed files are read through once, in tasks; a file that is cut short
-    is left out whole, as one whose header cannot be read.
+    Only names are listed on the driver.  Each file is opened and streamed in a
+    task, so neither the number of headers nor the size of a gzip file matters to
+    a single row or to the driver.  An empty folder gives no rows.
     """
     files = _data_files(spark, path)
-    packed = [f for f in files if f.endswith(".gz")]
-    if packed:
-        checked = spark.read.format("binaryFile").load(packed).select("path", "content") \
-            .mapInArrow(_whole_gzip, "name string")
-        names = {_plain(r["name"]) for r in checked.collect()}
-        files = [f for f in files if f not in packed or _plain(f) in names]
-    headers = {f: _header(spark, f) for f in files}
-    return {f: h for f, h in headers.items() if h}
+    names = spark.createDataFrame([(f,) for f in files], "file string")
+    dealt = names.repartition(max(1, min(len(files), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    return dealt.mapInArrow(_inspect_rows, STATUS)
+
+
+def readable_files(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """{file: column names} of the files that can be read to their end, in name order."""
+    good = file_status(spark, path).where("problem is null").select("file", "header").collect()
+    return {r.file: list(r.header) for r in sorted(good, key=lambda r: r.file)}
 
 
-def _plain(uri: str) -> str:
-    return re.sub(r"^file:/+", "/", uri)
+def load_status(spark: SparkSession, path: str, df: DataFrame, file_col: str = "source_file") -> DataFrame:
+    """S2 + K4: per source, what the files say and what the ingest ``df`` of them kept, as one table.
+
+    Columns: ``file_col``, n_columns, n_unreadable files, n_rows and n_malformed.
+    A source whose files are all unreadable stays, with 0 rows and NULL columns.
+    """
+    folder = F.nullif(F.regexp_extract("file", f"/{re.escape(file_col)}=([^/]*)/", 1), F.lit(""))
+    source = F.coalesce(F.try_url_decode(F.regexp_replace(folder, r"\+", "%2B")), folder,
+                        F.regexp_extract("file", "([^/]*)$", 1))
+    files = file_status(spark, path).groupBy(source.alias(file_col)).agg(
+        F.max(F.size(F.filter("header", lambda c: c.isNotNull()))).alias("n_columns"),
+        F.count_if(F.col("problem").isNotNull()).alias("n_unreadable"))
+    rows = load_report(df, file_col).where(F.col(file_col).isNotNull())
+    return files.join(rows, file_col, "left").select(
+        file_col, F.when(F.col("n_columns") >= 0, F.col("n_columns")).alias("n_columns"), "n_unreadable",
+        F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"),
+        F.coalesce("n_malformed", F.lit(0).cast("long")).alias("n_malformed"))
 
 
 def read_flow_csvs(spark: SparkSession, path: str, schema: T.StructType,
@@ -125,7 +161,7 @@ def read_flow_csvs(spark: SparkSession, path: str, schema: T.StructType,
     header are one scan, scans are united by name, a column that a file lacks is
     NULL there, and a header name outside the schema is an error.  Rows that do
     not parse keep their text in ``_corrupt_record``; files that cannot be read
-    to their end contribute nothing and are listed by ``missing_files``.
+    to their end contribute nothing and are listed by ``file_status`` and ``missing_files``.
     """
     types = {f.name.strip(): f.dataType for f in schema.fields}
     by_header: dict[tuple, list[str]] = {}

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netsieve.session import scratch_path
-from netsieve.sources.csv_files import load_report, missing_files, read_flow_csvs
+from netsieve.sources import csv_files
+from netsieve.sources.csv_files import file_status, load_report, load_status, missing_files, read_flow_csvs
 from netsieve.streaming import messages as MSG
 from netsieve.streaming import scoring as SC
 
@@ -209,3 +210,40 @@ def test_csv_columns_match_by_name_and_cut_files_are_dropped(spark):
         raise AssertionError("an unknown column must be an error")
     except ValueError as e:
         assert "What" in str(e)
+
+
+def test_file_status_streams_every_kind_of_file(spark, monkeypatch):
+    monkeypatch.setattr(csv_files, "PIECE", 64)
+    d = tempfile.mkdtemp(prefix="netsieve-csv-")
+    body = "A, B \n" + "".join(f"{i},{i * 7919 % 1009}\n" for i in range(500))
+    packed = gzip.compress(body.encode())
+    files = {"a.csv": b"A, B \n1,2\n", "b.csv": b"", "c.csv": b"\xff\xfe\n", "d.csv": b"x" * 200, "e%20+f.csv": b"\xef\xbb\xbfA,B\r\n",
+             "g.csv.gz": packed, "h.csv.gz": packed + gzip.compress(b"9,9\n" * 50), "i.csv.gz": packed[:-9], "j.csv.gz": b"junk",
+             "k.csv.gz": gzip.compress(b"A,B\n" + b"1,1\n" * 16), "l.csv.gz": b"", "m.csv.gz": gzip.compress(b"A,B\n" + b"0" * 10 ** 6)}
+    for name, data in files.items():
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+    for name, data in files.items():
+        header, size, problem = csv_files._inspect("file:" + os.path.join(d, name))
+        assert size == len(data), name
+        wanted = {"b": "empty", "c": "header is not UTF-8", "d": "no header line", "i": "cut short", "j": "not gzip data", "l": "cut short"}
+        assert problem == wanted.get(name[0]) and (header is None) == (problem is not None), name
+        assert header is None or [c.strip() for c in header] == ["A", "B"], name
+    assert csv_files._inspect(os.path.join(d, "none.csv"))[2] is not None
+    monkeypatch.undo()
+    got = {os.path.basename(r.file): r.problem for r in file_status(spark, d).collect()}
+    assert set(got) == set(files) and got["i.csv.gz"] == "cut short" and got["m.csv.gz"] is None
+    assert file_status(spark, tempfile.mkdtemp(prefix="netsieve-csv-")).count() == 0
+
+
+def test_load_status_keeps_unreadable_sources(spark):
+    d = tempfile.mkdtemp(prefix="netsieve-csv-")
+    for name, text in (("Monday-a.csv", "A,B\n1,2\nx,3\n"), ("Tuesday-b.csv", "A\n4\n")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    with open(os.path.join(d, "Friday-c.csv.gz"), "wb") as f:
+        f.write(gzip.compress(b"A,B\n5,6\n")[:-4])
+    schema = T.StructType([T.StructField("A", T.LongType()), T.StructField("B", T.LongType())])
+    rows = load_status(spark, d, read_flow_csvs(spark, d, schema)).collect()
+    assert sorted(tuple(r) for r in rows if r.n_columns) == [("Monday-a.csv", 2, 0, 2, 1), ("Tuesday-b.csv", 1, 0, 1, 0)]
+    assert [tuple(r) for r in rows if not r.n_columns] == [("Friday-c.csv.gz", None, 1, 0, 0)]
