@@ -100,7 +100,7 @@ def fit(rows: list, y: np.ndarray, size: int) -> dict:
     """AdaGrad on the logistic loss over rows given as lists of bucket numbers; a step touches only its rows' buckets."""
     r = np.random.default_rng(SEED)
     y = np.asarray(y, float)
-    rows = [np.asarray(x, np.int64) for x in rows]
+    rows = [np.asarray(x, np.int32) for x in rows]
     counts = np.array([len(x) for x in rows])
     x = evidence(np.concatenate(rows), np.repeat(y, counts), len(y), y.sum(), size).astype(np.float32)
     xv = np.maximum(x, np.float32(FLOOR))
