@@ -8,7 +8,10 @@ by piece.  Pieces are told apart by their bytes.  Two such rules are recognised
            every run of ASCII white space;
 ``space``  byte-level pre-tokens, in which one space may lead a pre-token but
            never follow anything else in it: cut before a space whose next
-           character is not white space.
+           character is not white space.  No pre-token goes on from a letter
+           to a punctuation mark either, and a line feed before a character
+           that is not white space stands alone: cut there too, so that words
+           with and without a mark after them are one piece.
 
 Any other tokenizer encodes each text whole.  Distinct pieces are encoded by
 the tokenizers library; their ids are kept in a bounded table of the worker.
@@ -18,9 +21,11 @@ from __future__ import annotations
 
 import json
 import os
+import string
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 
 from netsieve.llm import textarrays as T
 
@@ -32,6 +37,9 @@ MEMO_PIECES = 250_000
 JOINED = 2000
 #: First bytes of the UTF-8 characters that Unicode counts as white space.
 _WIDE_SPACE = np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
+#: ASCII letters, and ASCII marks that are neither letter, digit nor white space.
+_LETTER = np.isin(np.arange(256), np.frombuffer(string.ascii_letters.encode(), np.uint8))
+_MARK = np.isin(np.arange(256), np.frombuffer(string.punctuation.encode(), np.uint8))
 _MATCHED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALISERS = {"NFC", "Replace", "Lowercase"}
 
@@ -58,12 +66,14 @@ class Encoder:
         if self.sentencepiece:
             import sentencepiece
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.rule = None
+            self.rule = self.marks = None
         else:
             from tokenizers import Tokenizer
             self.model = Tokenizer.from_file(path)
             with open(path, encoding="utf-8") as f:
-                self.rule = cut_rule(json.load(f))
+                config = json.load(f)
+            self.rule = cut_rule(config)
+            self.marks, self.unsure = _free_marks(config), _unsure(config)
         self.token_bytes = self._token_bytes() if self.rule == "space" else None
         self._forget()
 
@@ -111,12 +121,18 @@ class Encoder:
         buf, n = t.buf, len(t.buf)
         cut = np.zeros(n, bool)
         nxt = buf[1:]
-        cut[:-1] = (buf[:-1] == 0x20) & ~T.WHITE[nxt] & ~_WIDE_SPACE[nxt]
+        cut[:-1] = (buf[:-1] == 0x20) & ~self.unsure[nxt]
         cut[t.offsets[t.offsets < n]] = True
         last = t.offsets[1:][t.offsets[1:] > 0] - 1   # a space at a text's end leads nothing
         first = np.zeros(n, bool)
         first[t.offsets[t.offsets < n]] = True
         cut[last] &= first[last]
+        if self.marks is not None:
+            cut[1:] |= _LETTER[buf[:-1]] & self.marks[nxt]
+            alone = (buf[:-1] == 0x0A) & ~self.unsure[nxt]
+            alone[last[last < n - 1]] = False
+            cut[:-1] |= alone
+            cut[1:] |= alone
         starts = np.flatnonzero(cut)
         return starts, np.append(starts[1:], n), np.searchsorted(starts, t.offsets)
 
@@ -128,7 +144,7 @@ class Encoder:
             return (np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64))
         starts, ends, first = self._pieces(t)
         which, distinct = T.span_codes(t.buf, starts, ends)
-        at, size = self._known(distinct.to_pylist())
+        at, size = self._known(distinct)
         count = size[which]
         total = int(count.sum())
         before = np.cumsum(count) - count
@@ -136,17 +152,19 @@ class Encoder:
         upto = np.concatenate((before, [total]))
         return ids, upto[first[1:]] - upto[first[:-1]]
 
-    def _known(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _known(self, distinct: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of ids of each distinct piece, encoding those not seen before."""
-        if len(self.known) + len(pieces) > MEMO_PIECES or len(self.ids) > 8 * MEMO_PIECES:
+        if len(self.known) + len(distinct) > MEMO_PIECES or len(self.ids) > 8 * MEMO_PIECES:
             self._make_room()
+        pieces, leads = _taken_apart(distinct, self.unsure)
         row = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         self.met[row[row >= 0]] = True
-        new = np.flatnonzero(row < 0).tolist()
-        if new:
-            new.sort(key=lambda i: not _leads(pieces[i]))
-            fresh = [pieces[i] for i in new]
-            ids, size = self._encoded(fresh)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            lead = leads[new]
+            new = np.concatenate([new[lead], new[~lead]])
+            fresh = [pieces[i] for i in new.tolist()]
+            ids, size = self._encoded(fresh, int(lead.sum()))
             at = len(self.ids) + np.cumsum(size) - size
             row[new] = len(self.at) + np.arange(len(new))
             self.known.update(zip(fresh, row[new].tolist()))
@@ -155,15 +173,14 @@ class Encoder:
             self.met = np.concatenate([self.met, np.zeros(len(new), bool)])
         return self.at[row], self.size[row]
 
-
-    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in order, number of ids of each piece); pieces that lead with a space come first.
+    def _encoded(self, pieces: list[bytes], leading: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in order, number of ids of each piece); the ``leading`` first ones lead with a space.
 
         Under the rule ``space`` those are joined into long texts, which the
         tokenizer splits again exactly there; the known byte length of every
         token gives each piece its ids.
         """
-        joined = sum(map(_leads, pieces)) if self.token_bytes is not None else 0
+        joined = leading if self.token_bytes is not None else 0
         texts = [b"".join(pieces[i:min(i + JOINED, joined)]).decode() for i in range(0, joined, JOINED)]
         ids = np.fromiter(chain.from_iterable(self.whole(texts)), np.uint32)
         ends = np.cumsum(self.token_bytes[ids]) if joined else np.empty(0, np.int64)
@@ -176,9 +193,34 @@ class Encoder:
         return np.concatenate([ids, np.fromiter(chain.from_iterable(got), np.uint32)]), size
 
 
-def _leads(piece: bytes) -> bool:
-    """A space, then a character that is not white space: always the start of a pre-token."""
-    return len(piece) > 1 and piece[0] == 0x20 and not T.WHITE[piece[1]] and not _WIDE_SPACE[piece[1]]
+def _taken_apart(distinct: pa.LargeBinaryArray, unsure: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The pieces, and which of them are a space, then a character that is not white space: always the start of a pre-token."""
+    n, (_, offsets, data) = len(distinct), distinct.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[distinct.offset:distinct.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[:offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    raw, cut = data.tobytes(), offsets.tolist()
+    leads = np.diff(offsets) > 1
+    at = offsets[:-1][leads]
+    leads[leads] = (data[at] == 0x20) & ~unsure[data[at + 1]]
+    return [raw[a:b] for a, b in zip(cut, cut[1:])], leads
+
+
+def _unsure(config: dict) -> np.ndarray:
+    """First bytes of white space and of added tokens, which the library takes out of a text before it splits the rest."""
+    found = T.WHITE | _WIDE_SPACE
+    found[[token["content"].encode()[0] for token in config.get("added_tokens") or [] if token["content"]]] = True
+    return found
+
+
+def _free_marks(config: dict) -> np.ndarray | None:
+    """Which bytes are marks that follow no letter inside an added token; None if an added token looks at its surroundings."""
+    marks = _MARK.copy()
+    for token in config.get("added_tokens") or []:
+        if token.get("single_word") or token.get("lstrip") or token.get("rstrip") or "\n" in token["content"]:
+            return None
+        b = np.frombuffer(token["content"].encode(), np.uint8)
+        marks[b[1:][_LETTER[b[:-1]]]] = False
+    return marks
 
 
 _encoders: dict[str, Encoder] = {}
