@@ -118,10 +118,10 @@ def _spliced(long: DataFrame, tokenizer: str, rule: str | None, chunk: int, over
                          F.col("text").substr((F.col("chunk") * step + 1).cast("int"), F.lit(chunk)).alias("piece"),
                          F.lit(overlap).alias("overlap"), F.lit(step).alias("step"))
         chunks = materialise(map_arrow(cut.repartition(n, "row", "chunk"), _chunk_rows(tokenizer),
-                                       "row long, chunk long, n long, head binary, tail binary"), "chunks")
+                                       "row long, chunk long, n long, head binary, tail binary", keeps_tables=True), "chunks")
         left = chunks.select("row", (F.col("chunk") + 1).alias("chunk"), "tail")
         seams = map_arrow(chunks.select("row", "chunk", "head").join(left, ["row", "chunk"]), _splice_rows(rule),
-                          "row long, less long")
+                          "row long, less long", keeps_tables=True)
         seams = seams.groupBy("row").agg(F.sum("less").alias("less"), F.count_if(F.col("less").isNull()).alias("open"))
         counted = materialise(chunks.groupBy("row").agg(F.sum("n").alias("n")).join(seams, "row", "left")
                               .select("row", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n_tokens"),
@@ -134,7 +134,7 @@ def _spliced(long: DataFrame, tokenizer: str, rule: str | None, chunk: int, over
         overlap *= 4
     else:
         done.append(map_arrow(long.select("row", "text").repartition(n, "row"), _whole_rows(tokenizer),
-                              "row long, n_tokens long"))
+                              "row long, n_tokens long", keeps_tables=True))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -152,7 +152,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     src = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     is_long = F.length("text") > long_chars
     short = map_arrow(src.where(~is_long).select("doc_id", "n_bytes", "text"), _count_rows(tokenizer),
-                      f"row {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+                      f"row {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long", keeps_tables=True)
     short = short.withColumnRenamed("row", "doc_id")
     long = materialise(src.where(is_long).withColumn("row", F.monotonically_increasing_id()), "long-texts")
     found = _spliced(long.select("row", "text"), tokenizer, rule, chunk, overlap)

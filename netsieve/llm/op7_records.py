@@ -149,7 +149,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, id
     folder = folder or scratch_path(spark, "records")
     rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
             .repartitionByRange(tasks(spark), "id").sortWithinPartitions("id", "text"))
-    return materialise(map_arrow(rows, _write_rows(folder, tokenizer, end_id), _MANIFEST), "manifest")
+    return materialise(map_arrow(rows, _write_rows(folder, tokenizer, end_id), _MANIFEST, keeps_tables=True), "manifest")
 
 
 def _read_rows(batches):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,33 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([*known, root])
 
 
-def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+#: Large tables that a worker keeps from task to task (tokenizers and the pieces they have met), by name.
+worker_tables: dict[str, object] = {}
+
+
+def map_arrow(df: DataFrame, fn, schema, keeps_tables: bool = False) -> DataFrame:
+    """``mapInArrow``; unless ``fn`` keeps worker tables, its tasks begin by dropping those of earlier operators.
+
+    Workers serve many operators one after the other: what a task has freed goes back to the system.
+    """
     workers_import(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_lean(fn, keeps_tables), schema)
+
+
+def _lean(fn, keeps_tables: bool):
+    def run(batches):
+        if not keeps_tables:
+            worker_tables.clear()
+            _give_back()
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
+    return run
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from netsieve.llm import encoding
+from netsieve.llm import encoding, storage
 from netsieve.llm import textarrays as T
 from netsieve.llm.queries import tokenizer_path
 
@@ -33,3 +33,16 @@ def test_words_with_and_without_marks_are_one_piece():
     texts = ["x" + mark.join(words) + mark for mark in ("", ".", ",", "!?", "$$$", ";\n")]
     assert ids_of(e, texts) == e.whole(texts)
     assert len(e.known) <= len(words) + 10
+
+
+def test_a_task_of_another_operator_drops_worker_tables():
+    storage.worker_tables.clear()
+    first = encoding.encoder(tokenizer_path("byte_bpe_50k.json"))
+    seen = []
+
+    def task(batches):
+        seen.append(len(storage.worker_tables))
+        yield from batches
+    assert list(storage._lean(task, True)(iter([1]))) == [1] and encoding.encoder(tokenizer_path("byte_bpe_50k.json")) is first
+    assert list(storage._lean(task, False)(iter([2]))) == [2] and seen == [1, 0]
+    assert not storage.worker_tables
