@@ -10,7 +10,7 @@ from netsieve.operators import metrics as M
 from netsieve.operators import sequence as Q
 from netsieve.plans.registry import register
 from netsieve.plans.sql import FLOWS_CTE, r6, with_ctes
-from netsieve.session import scratch_path
+from netsieve.session import path_exists, scratch_path
 from netsieve.sources.flows import FEATURES, flows, with_binary_score, with_synthetic_prediction
 from netsieve.streaming import messages as MSG
 from netsieve.streaming import scoring as SC
@@ -401,6 +401,8 @@ def event_time_chunks(spark, sf_dir):
 
 
 SESSION_GAP_S, SESSION_ROWS = 6 * 3600, 3
+#: Flows of a micro-batch, of a file of it, and of a bucket of entities in all batches together.
+SESSION_BATCH_ROWS, SESSION_FILE_ROWS, SESSION_BUCKET_ROWS = 4_000_000, 250_000, 10_000
 SESSION_SQL = with_ctes(FLOWS_CTE, """
 a AS (SELECT *, '10.0.0.' || CAST(destination_port % 4 AS VARCHAR) AS dst_ip FROM flows),
 b AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 21600000000 THEN 0 ELSE 1 END AS new FROM a
@@ -433,28 +435,33 @@ def session_chunks(spark, sf_dir):
 
 @register("session_chunks_stream", SESSION_SQL)
 def session_chunks_stream(spark, sf_dir):
-    """W7 on a stream: the same sessions from state and timers, over files in time order.
+    """W7 on a stream: the same sessions from state and timers, over batches of files in time order.
 
-    The last file holds one flow far in the future, so that the watermark passes all others; its own session stays open.
+    The last batch holds one flow far in the future, so that the watermark passes all others; its own session stays open.
     """
     base = scratch_path(spark, "sessions")
     f = _pair_flows(spark, sf_dir).select("src_ip", "dst_ip", "ts", "row_id", "label", *FEATURES)
-    lo, hi = f.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
-    part = F.floor((F.unix_seconds("ts") - lo) * 4 / (hi - lo + 1))
-    for i in range(4):
-        f.where(part == i).coalesce(1).write.mode("append").parquet(f"{base}/src")
-    f.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(hi + 10 * SESSION_GAP_S))).withColumn("src_ip", F.lit("end of stream")) \
-        .coalesce(1).write.mode("append").parquet(f"{base}/src")
+    lo, hi, n = f.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts")), F.count(F.lit(1))).first()
+    parts = max(4, -(-n // SESSION_BATCH_ROWS))
+    slot = F.floor((F.unix_seconds("ts") - lo) * parts / (hi - lo + 1))
+    (f.where("ts is not null").withColumn("slot", slot).repartition(F.col("slot"), F.pmod("row_id", F.lit(-(-n // (parts * SESSION_FILE_ROWS)))))
+     .write.partitionBy("slot").parquet(f"{base}/slots"))
+    slots = spark.read.schema(f.schema).option("basePath", f"{base}/slots")
+    end = f.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(hi + 10 * SESSION_GAP_S))).withColumn("src_ip", F.lit("end of stream"))
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, SES.ROCKSDB)
     try:
-        stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src")
-        found = SES.stream_session_chunks(stream, ["src_ip", "dst_ip"], "ts", "row_id", FEATURES, "label", SESSION_GAP_S, "1 hour",
-                                          SESSION_ROWS)
-        q = (found.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-        q.awaitTermination()
+        for i in range(parts + 1):
+            if i < parts and not path_exists(spark, f"{base}/slots/slot={i}"):
+                continue
+            (slots.parquet(f"{base}/slots/slot={i}") if i < parts else end.coalesce(1)).write.mode("append").parquet(f"{base}/src")
+            # A run takes all files that are new; state and watermark go on from the checkpoint.
+            found = SES.stream_session_chunks(spark.readStream.schema(f.schema).parquet(f"{base}/src"), ["src_ip", "dst_ip"], "ts", "row_id",
+                                              FEATURES, "label", SESSION_GAP_S, "1 hour", SESSION_ROWS, buckets=max(16, n // SESSION_BUCKET_ROWS))
+            q = (found.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+                 .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+            q.awaitTermination()
     finally:
         if before is None:
             spark.conf.unset(key)
