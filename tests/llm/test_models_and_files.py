@@ -17,6 +17,7 @@ from netsieve.llm import encoding, op4_token_counts, op6_mixing, op7_records, op
 from netsieve.llm import op2_topk as K
 from netsieve.llm.packing import pack_floats, pack_ints, pack_sorted, unpack
 from netsieve.llm.queries import ORACLE, QUERIES, tokenizer_path
+from netsieve.llm.storage import materialise
 
 
 def test_top_k_equals_brute_force_with_ties_and_bad_vectors(spark, monkeypatch):
@@ -73,6 +74,32 @@ def test_pruned_scan_is_exact():
         assert vi[qi == i].tolist() == np.lexsort((ids, -full[i]))[:5].tolist()
 
 
+def test_scan_by_matrices_equals_scan_by_pairs(monkeypatch):
+    r = np.random.default_rng(1)
+    v = (r.normal(size=(700, 24)) * 50).astype(np.int32)
+    v[300:350] = v[:50]  # equal vectors
+    rot, ids, thr = np.linalg.eigh(v.T.astype(float) @ v)[1][:, ::-1], r.permutation(700), np.full(60, -np.inf)
+    found = []
+    for share in (0.0, 2.0):
+        monkeypatch.setattr(K, "DENSE", share)
+        found.append([x.tolist() for x in K._scan(v[:60], ids[:60], v, ids, thr, rot, 5)])
+    assert found[0] == found[1] and len(found[0][0]) == 300
+
+
+def test_top_k_packs_full_blocks_whatever_the_partitions(spark, monkeypatch):
+    counts = {}
+
+    def counted(df, name):
+        out = materialise(df, name)
+        counts[name] = out.count()
+        return out
+    monkeypatch.setattr(K, "materialise", counted)
+    v = spark.range(300).selectExpr("id", "array(id % 7, id % 11, 3) as v")
+    assert K.top_k(v, v.where("id % 10 = 0"), 5).count() == 150
+    # Eight partitions of the session made eight blocks of each, and 64 pairs of blocks for the work of one.
+    assert counts["vector-blocks"] == counts["query-blocks"] == 1
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoding_by_pieces_equals_whole_texts(spark, name):
     import pyarrow as pa
